@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP1_SQL, op1_decontamination
+from .langid import OP9_SQL, op9_language
 from .simhash import op2_simhash
 
 
@@ -14,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_simhash": op2_simhash,
+        "op9_language": op9_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
+        "op9_language": OP9_SQL,
     }
