@@ -38,7 +38,7 @@ from .textkernel import Words, by_block
 class Profiles:
     size: int = 300
     train_docs: int = 400
-    max_distance: int = 85
+    max_distance: int = 80
     #: Sampled ids up to this number are broadcast to the sample's scan.
     broadcast_ids: int = 200_000
 
@@ -237,6 +237,6 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_ ORDER BY
 
 OP9_SQL = f"""
 WITH {LANGUAGE_CTES}
-SELECT doc_id, b.lang AS detected, b.s::BIGINT AS distance, coalesce(b.n, 0)::BIGINT AS n_grams, coalesce(100 * b.s <= 85 * 300 * b.n, false) AS keep
+SELECT doc_id, b.lang AS detected, b.s::BIGINT AS distance, coalesce(b.n, 0)::BIGINT AS n_grams, coalesce(100 * b.s <= 80 * 300 * b.n, false) AS keep
 FROM rows_ LEFT JOIN best b USING (row_)
 """

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP1_SQL, op1_decontamination
 from .langid import OP9_SQL, op9_language
+from .packing import op3_packing
 from .simhash import op2_simhash
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_simhash": op2_simhash,
+        "op3_packing": op3_packing,
         "op9_language": op9_language,
     }
 
