@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import OP1_SQL, op1_decontamination
 from .langid import OP9_SQL, op9_language
 from .packing import op3_packing
+from .pii import op6_pii
 from .simhash import op2_simhash
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
+        "op6_pii": op6_pii,
         "op9_language": op9_language,
     }
 
