@@ -11,6 +11,7 @@ from .langid import OP9_SQL, op9_language
 from .packing import op3_packing
 from .pii import op6_pii
 from .simhash import op2_simhash
+from .toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op6_pii": op6_pii,
+        "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
     }
 
