@@ -10,6 +10,7 @@ from .decontaminate import OP1_SQL, op1_decontamination
 from .langid import OP9_SQL, op9_language
 from .packing import op3_packing
 from .pii import op6_pii
+from .quality import op10_quality
 from .simhash import op2_simhash
 from .toxicity import op8_toxicity
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
+        "op10_quality": op10_quality,
     }
 
 
