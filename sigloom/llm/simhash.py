@@ -103,21 +103,21 @@ def pairs(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = codes.select("lo", "hi", part.alias("part"), entry)
     key = F.element_at("part", F.col("e.s") + 1).bitwiseXOR(F.col("e.m")).bitwiseOR(F.shiftleft(F.col("e.s").cast("long"), 32))
     rows = rows.select(key.alias("key"), "lo", "hi", F.col("e.m").alias("m"))
-    a = rows.select("key", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("m").alias("am"))
-    b = rows.select("key", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("m").alias("bm"))
-    alo, ahi, blo, bhi = map(F.col, ("alo", "ahi", "blo", "bhi"))
+    # the same columns on both sides, so that one exchange serves both
+    a, b = rows.alias("a"), rows.alias("b")
+    alo, ahi, blo, bhi = map(F.col, ("a.lo", "a.hi", "b.lo", "b.hi"))
     apart = [_near(_segment(alo, ahi, *x), _segment(blo, bhi, *x)) for x in SEGMENTS]
     first = F.lit(n)
     for s in reversed(range(n)):
         first = F.when(apart[s] <= ball, s).otherwise(first)
-    # of the keys that two balls share, one counts: both exact at distance 0, a's own at 1, the one where a flips the lower bit at 2
-    am, bm = F.col("am"), F.col("bm")
-    once = ((am == 0) & (bm == 0)) | ((am == 0) & (bm != 0)) | ((am != 0) & (bm != 0) & (am < bm))
+    # of the keys that two balls share, one counts: a's own at a distance of 0 and 1, the one where a flips the lower bit at 2
+    am, bm = F.col("a.m"), F.col("b.m")
+    once = (am == 0) | ((bm != 0) & (am < bm))
     return (
-        a.join(b, "key")
+        a.join(b, F.col("a.key") == F.col("b.key"))
         .where((ahi < bhi) | ((ahi == bhi) & (alo < blo)))
         .where(once & (_near(alo, blo) + _near(ahi, bhi) <= radius))
-        .where(F.shiftright(F.col("key"), 32) == first)
+        .where(F.shiftright(F.col("a.key"), 32) == first)
         .select(F.struct(ahi.alias("hi"), alo.alias("lo")).alias("a"), F.struct(bhi.alias("hi"), blo.alias("lo")).alias("b"))
     )
 
