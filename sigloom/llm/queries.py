@@ -15,6 +15,7 @@ from .rules import OP5_SQL, op5_rules
 from .simhash import op2_simhash
 from .toxicity import op8_toxicity
 from .urls import op4_urls
+from .warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_urls": op4_urls,
         "op5_rules": op5_rules,
         "op6_pii": op6_pii,
+        "op7_warc": op7_warc,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
