@@ -75,16 +75,18 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def at_most(k: int, n: int, p: float) -> float:
-    """P(Binomial(n, p) <= k), from the largest term down."""
+    """P(Binomial(n, p) <= k), summed from the largest term of the tail that k begins."""
     if k >= n:
         return 1.0
-    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
-    total, i = 0.0, k
-    while i >= 0 and (term > total * 1e-17 or i > n * p):
+    upper = k > n * p
+    i = k + 1 if upper else k
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total = 0.0
+    while 0 <= i <= n and term > total * 1e-17:
         total += term
-        term *= i / (n - i + 1) * (1 - p) / p
-        i -= 1
-    return min(1.0, total)
+        term *= (n - i) / (i + 1) * p / (1 - p) if upper else i / (n - i + 1) * (1 - p) / p
+        i += 1 if upper else -1
+    return max(0.0, 1 - total) if upper else min(1.0, total)
 
 
 def thresholds(stats: DataFrame, labels: DataFrame, how: Risk = Risk()) -> DataFrame:

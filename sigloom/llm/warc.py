@@ -13,8 +13,8 @@ depend on the input alone, so a task that is repeated after a lost executor
 leaves the same files.  Paths may be on any file system that pyarrow opens.
 
 Defined results: an empty file gives an empty file and sidecar; a stream that
-breaks off or has a damaged header keeps the records before the damage and ends
-with an index row of type "damaged" and length 0; a record without a URI has a
+breaks off or has a damaged header keeps the records that were whole before it showed and
+ends with an index row of type "damaged" and length 0; a record without a URI has a
 null one.  For ``from_pages``: null HTML is an empty payload, a null URL is left
 out of the header, repeated rows are records each, line ends in a URL are
 percent-escaped (the URI of such a record is the escaped one), extra columns are
