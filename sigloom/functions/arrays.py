@@ -9,8 +9,6 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def literal(values) -> Column:
     """A constant array or matrix, folded once at planning time."""
@@ -24,7 +22,12 @@ def doubles(a: Column) -> Column:
 
 def each(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """A scalar function over every element."""
-    return lambda a: F.transform(a, f)
+    return lambda a: F.transform(a, lambda x: f(x))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; inside a lambda it would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
 def total(a: Column) -> Column:
@@ -58,18 +61,15 @@ def divided(a: Column, weights: Sequence[float]) -> Column:
 
 def unit_norm(a: Column) -> Column:
     """L2 norm 1; a zero frame stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
 
 def batchwise_unit_norm(a: Column) -> Column:
-    n = norm(a) + 1e-8
-    return F.transform(a, lambda x: x / n)
+    return let(norm(a) + 1e-8, lambda n: F.transform(a, lambda x: x / n))
 
 
 def sample_norm(a: Column) -> Column:
-    d = F.sqrt(dot(a, a) / F.size(a) + 1e-7)
-    return F.transform(a, lambda x: x / d)
+    return let(F.sqrt(dot(a, a) / F.size(a) + 1e-7), lambda d: F.transform(a, lambda x: x / d))
 
 
 def peak(a: Column) -> Column:
@@ -77,22 +77,23 @@ def peak(a: Column) -> Column:
 
 
 def instance_scale(a: Column, to: float = 1.0) -> Column:
-    p = peak(a)
-    return F.transform(a, lambda x: to * x / (p + 1e-8))
+    return let(peak(a), lambda p: F.transform(a, lambda x: to * x / (p + 1e-8)))
 
 
 def unit_scale(a: Column) -> Column:
     """To [0, 1]; a constant frame is zero."""
-    low = F.array_min(a)
-    high = F.array_max(a) - low
-    return F.transform(a, lambda x: F.when(high > 0, (x - low) / high).otherwise(0.0))
+    made = lambda r: F.transform(a, lambda x: F.when(r["high"] > r["low"], (x - r["low"]) / (r["high"] - r["low"])).otherwise(0.0))
+    return let(F.struct(F.array_min(a).alias("low"), F.array_max(a).alias("high")), made)
 
 
 def z_score(a: Column) -> Column:
     """By the frame's mean and sample standard deviation."""
-    m = mean(a)
-    sd = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size(a) - 1))
-    return F.transform(a, lambda x: F.when(sd > 0, (x - m) / sd).otherwise(0.0))
+
+    def centred(m: Column) -> Column:
+        sd = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size(a) - 1))
+        return let(sd, lambda d: F.transform(a, lambda x: F.when(d > 0, (x - m) / d).otherwise(0.0)))
+
+    return let(mean(a), centred)
 
 
 def argmax(a: Column) -> Column:
@@ -111,8 +112,7 @@ def category(a: Column, mu: int = 255) -> Column:
     """Index of every sample of a frame after peak scaling and mu-law companding."""
     from .scalars import mu_law
 
-    p = peak(a)
-    return F.transform(a, lambda x: F.floor((mu_law(F.when(p > 0, x / p).otherwise(0.0), mu) + 1) * 0.5 * mu))
+    return let(peak(a), lambda p: F.transform(a, lambda x: F.floor((mu_law(F.when(p > 0, x / p).otherwise(0.0), mu) + 1) * 0.5 * mu)))
 
 
 def categorical(a: Column, mu: int = 255) -> Column:
@@ -135,7 +135,7 @@ def band(a: Column, lo: int, hi: int) -> Column:
 
 def unband(a: Column, lo: int, size: int) -> Column:
     """The inverse of band(): zeros around."""
-    return F.concat(F.array_repeat(ZERO, lo), a, F.array_repeat(ZERO, F.lit(size - lo) - F.size(a)))
+    return F.concat(F.array_repeat(F.lit(0.0), lo), a, F.array_repeat(F.lit(0.0), F.lit(size - lo) - F.size(a)))
 
 
 def assign_band(a: Column, lo: int, hi: int, value: Column) -> Column:
@@ -143,7 +143,7 @@ def assign_band(a: Column, lo: int, hi: int, value: Column) -> Column:
 
 
 def pad(a: Column, size: int) -> Column:
-    return F.concat(a, F.array_repeat(ZERO, F.greatest(F.lit(size) - F.size(a), F.lit(0))))
+    return F.concat(a, F.array_repeat(F.lit(0.0), F.greatest(F.lit(size) - F.size(a), F.lit(0))))
 
 
 def reshape(a: Column, width: int) -> Column:
@@ -155,8 +155,8 @@ def sharpen(a: Column, kernel: Sequence[float]) -> Column:
     """Convolution of the same size, negative results cut off."""
     k = list(reversed([float(x) for x in kernel]))
     before = len(k) - 1 - (len(k) - 1) // 2
-    wide = F.concat(F.array_repeat(ZERO, before), a, F.array_repeat(ZERO, len(k) - 1 - before))
-    return F.transform(a, lambda x, i: F.greatest(dot(F.slice(wide, i + 1, len(k)), literal(k)), ZERO))
+    wide = F.concat(F.array_repeat(F.lit(0.0), before), a, F.array_repeat(F.lit(0.0), len(k) - 1 - before))
+    return let(wide, lambda w: F.transform(a, lambda x, i: F.greatest(dot(F.slice(w, i + 1, len(k)), literal(k)), F.lit(0.0))))
 
 
 def centroid(a: Column) -> Column:
@@ -185,13 +185,18 @@ def high_frequency_content(a: Column, first: int = 3) -> Column:
 
 def pack_bits(bits: Column) -> Column:
     """Words of 64 bits, the first bit highest; the last word is filled with zeros."""
-    words = F.sequence(F.lit(0), F.ceil(F.size(bits) / 64).cast("int") - 1)
-    word = lambda w: F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0).cast("long"), lambda s, i: F.shiftleft(s, 1).bitwiseOR(F.coalesce(F.get(bits, w * 64 + i - 1), F.lit(0)).cast("long")))
-    return F.transform(words, word)
+
+    def packed(b: Column) -> Column:
+        bit = lambda w, i: F.coalesce(F.get(b, w * 64 + i - 1), F.lit(0)).cast("long")
+        word = lambda w: F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0).cast("long"), lambda s, i: F.shiftleft(s, 1).bitwiseOR(bit(w, i)))
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(b) / 64).cast("int") - 1), lambda w: word(w))
+
+    return let(bits, packed)
 
 
 def unpack_bits(words: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(F.get(words, F.floor(i / 64).cast("int")), F.lit(63) - F.pmod(i, F.lit(64))).cast("tinyint"))
+    bit = lambda w, i: F.getbit(F.get(w, F.floor(i / 64).cast("int")), F.lit(63) - F.pmod(i, F.lit(64))).cast("tinyint")
+    return let(words, lambda w: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: bit(w, i)))
 
 
 def hamming(a: Column, b: Column) -> Column:

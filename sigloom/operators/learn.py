@@ -57,7 +57,7 @@ def unit_norm() -> Stage:
 
 
 def instance_scaling(to: float = 1.0) -> Stage:
-    scaled = lambda a: F.transform(a, lambda x: F.when(A.peak(a) > 0, to * x / A.peak(a)).otherwise(0.0))
+    scaled = lambda a: A.let(A.peak(a), lambda p: F.transform(a, lambda x: F.when(p > 0, to * x / p).otherwise(0.0)))
     return _Fixed(Fitted("instance_scaling", scaled, lambda y, p: F.transform(y, lambda x: x * p / to), A.peak, {"to": to}))
 
 
