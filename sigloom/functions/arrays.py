@@ -43,12 +43,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def matmul(matrix, a: Column) -> Column:
     """matrix @ a with a constant matrix."""
-    return F.transform(literal(matrix), lambda row: dot(row, a))
+    return let(a, lambda x: F.transform(literal(matrix), lambda row: dot(row, x)))
 
 
 def times(a: Column, weights: Sequence[float]) -> Column:
