@@ -1,21 +1,29 @@
 """Exact nearest neighbours on packed codes and on vectors.
 
-Each query's neighbours are a top-k by (distance, id).  The query side is
-broadcast while it has at most ``BROADCAST_QUERIES`` rows (they are counted);
-beyond, Spark's block-wise cartesian product takes over.  Each task keeps its own k best before anything is
-shuffled (Spark's window-group limit), so the shuffle carries k rows a query and task.
+Each query's neighbours are a top-k by (distance, id).  While there are at most
+``BROADCAST_QUERIES`` queries (they are counted) they travel to the index: every
+Arrow batch of it is compared with all of them in numpy blocks and gives its own
+k best, so the shuffle carries k rows for each query and batch, whatever the
+index's size.  More queries, or a distance given as an expression, take Spark's
+cross join, which also keeps k rows a task before it shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import arrays as A
 
-BROADCAST_QUERIES = 100_000
+BROADCAST_QUERIES = 50_000
+#: Numbers in a block of differences.
+_BLOCK = 4_000_000
 
 Distance = Callable[[Column, Column], Column]
 METRICS: dict[str, Distance] = {
@@ -28,18 +36,89 @@ METRICS: dict[str, Distance] = {
 }
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str | Distance = "euclidean", id: str = "id", vector: str = "vector", query_id: str = "query_id") -> DataFrame:
-    """query_id, id, distance, rank from 1 of the k nearest rows of the index to every query."""
-    measure = METRICS[metric] if isinstance(metric, str) else metric
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q"))
-    small = q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    rows = index.select(F.col(id).alias("id"), F.col(vector).alias("__v"))
-    pairs = rows.crossJoin(F.broadcast(q) if small else q)
+def _blockwise(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x (down) and q (across)."""
+    if metric == "hamming":
+        return np.bitwise_count(x[:, None, :] ^ q[None, :, :]).sum(2).astype(np.int64)
+    if metric == "cosine":
+        lengths = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1 - np.einsum("id,jd->ij", x, q) / lengths
+    d = x[:, None, :] - q[None, :, :]
+    if metric == "cityblock":
+        return np.abs(d).sum(2)
+    if metric == "chebyshev":
+        return np.abs(d).max(2)
+    square = np.einsum("ijd,ijd->ij", d, d)
+    return np.sqrt(square) if metric == "euclidean" else square
+
+
+def _matrix(column: pa.Array, metric: str) -> np.ndarray:
+    width = len(column[0]) if len(column) else 0
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    # bits are counted of unsigned words; of signed ones numpy counts those of the absolute value
+    return (flat.astype(np.int64).view(np.uint64) if metric == "hamming" else flat.astype(float)).reshape(len(column), width)
+
+
+def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str | Distance = "euclidean", id: str = "id", vector: str = "vector", query_id: str = "query_id", digits: int = 9) -> DataFrame:
+    """query_id, id, distance, rank from 1 of the k nearest rows of the index to every query.
+
+    Distances are rounded to ``digits`` decimals, so that rounding noise doesn't
+    order equal neighbours.  Rows without a vector are nobody's neighbour.
+    """
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q")).where("__q IS NOT NULL")
+    rows = index.select(F.col(id).alias("id"), F.col(vector).alias("__v")).where("__v IS NOT NULL")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    scored = pairs.select("query_id", "id", measure(F.col("__v"), F.col("__q")).alias("distance"))
+    small = q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    if small and isinstance(metric, str):
+        scored = _streamed(rows, q, k, metric, digits)
+    else:
+        measure = METRICS[metric] if isinstance(metric, str) else metric
+        pairs = rows.crossJoin(F.broadcast(q) if small else q)
+        scored = pairs.select("query_id", "id", measure(F.col("__v"), F.col("__q")).alias("distance"))
+        if dict(scored.dtypes)["distance"] == "double":
+            scored = scored.withColumn("distance", F.round("distance", digits))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _streamed(rows: DataFrame, queries: DataFrame, k: int, metric: str, digits: int) -> DataFrame:
+    """query_id, id, distance: of every batch of rows the k nearest to each query."""
+    asked = queries.toArrow()
+    kind = IntegerType() if metric == "hamming" else DoubleType()
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("id", rows.schema["id"].dataType), StructField("distance", kind)])
+    if not asked.num_rows:
+        return rows.sparkSession.createDataFrame([], schema)
+    ids, matrix = asked.column("query_id").combine_chunks(), _matrix(asked.column("__q").combine_chunks(), metric)
+    held = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, x = batch.column(0), _matrix(batch.column(1), metric)
+            place = np.empty(len(own), np.int64)
+            place[pc.sort_indices(own).to_numpy()] = np.arange(len(own))
+            step = max(1, _BLOCK // max(1, x.size))
+            for lo in range(0, len(q), step):
+                d = np.concatenate([_blockwise(metric, part, q[lo : lo + step]) for part in np.array_split(x, -(-len(x) * min(step, len(q)) * x.shape[1] // _BLOCK) or 1)])
+                if metric != "hamming":
+                    d = np.round(d, digits) + 0.0
+                if len(d) > k:
+                    row, col = np.nonzero(d <= np.partition(d, k - 1, axis=0)[k - 1])
+                else:
+                    row, col = (a.ravel() for a in np.indices(d.shape))
+                order = np.lexsort((place[row], d[row, col], col))
+                row, col = row[order], col[order]
+                begin = np.searchsorted(col, np.arange(d.shape[1]))
+                top = np.arange(len(col)) - begin[col] < k
+                row, col = row[top], col[top]
+                dist = pa.array(d[row, col], pa.int32() if metric == "hamming" else pa.float64())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + col)), own.take(pa.array(row)), dist], names=["query_id", "id", "distance"])
+
+    return rows.mapInArrow(work, schema)
+
+
 def search(index: DataFrame, query: Column, k: int, metric: str | Distance = "hamming", vector: str = "code", id: str = "id") -> DataFrame:
     """The k rows of the index nearest to one query, all columns, with their distance; a top-k without a sort of the whole."""
     measure = METRICS[metric] if isinstance(metric, str) else metric

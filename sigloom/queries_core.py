@@ -154,8 +154,7 @@ for _metric, _sql in {
 
     def _run(spark, d, metric=_metric):
         rows = frames(spark, d)
-        measure = lambda a, b: F.round(knn.METRICS[metric](a, b), 9)
-        got = knn.nearest(rows, rows.select(F.col("vec_id").alias("query_id"), "v"), 5, measure, "vec_id", "v")
+        got = knn.nearest(rows, rows.select(F.col("vec_id").alias("query_id"), "v"), 5, metric, "vec_id", "v")
         return got.select("query_id", "id", r6(F.col("distance"), "distance"), "rank")
 
     query(f"{_metric}_knn", _KNN.format(frames=FRAMES, distance=_sql))(_run)
