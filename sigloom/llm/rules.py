@@ -11,7 +11,8 @@ correction is needed; the strictest certified cutoff is used, and where none is
 certified the rule rejects nothing.  With probability 1 - ``delta`` every
 stratum then loses at most ``alpha`` of its good documents.
 
-Everything is built-in expressions over one scan; the counts that reach the test
+The statistics are built-in expressions over one scan, kept as a table of small
+numbers in the shared folder; the counts that reach the test
 are strata x rules x cutoffs, whatever the corpus.  Statistics are whole
 thousandths (or tenths for the word length), so cutoffs are compared exactly.
 
@@ -32,6 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Cutoffs of each rule from lenient to strict.
 CUTOFFS = {
     "symbols": (400, 200, 150, 100, 80, 60, 40, 30, 20),
@@ -111,7 +114,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, how: Risk = Risk()) -> DataF
 
 def apply(docs: DataFrame, labels: DataFrame, how: Risk = Risk()) -> DataFrame:
     """doc_id, stratum, the statistics, the number of rules that reject, and keep, of every row."""
-    stats = statistics(docs)
+    stats = written(statistics(docs), "statistics")
     found = thresholds(stats, labels, how).groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.first("cutoff"))
     cut = found.select(F.col("stratum").alias("__s"), *[F.col(r).alias(f"__{r}") for r in CUTOFFS])
     fails = sum((F.when(F.col(r) > F.col(f"__{r}"), 1).otherwise(0) for r in CUTOFFS), F.when(F.col("letters") == 0, 1).otherwise(0))
