@@ -12,7 +12,7 @@ from .functions import arrays as A
 from .functions import scalars as S
 from .operators import knn, learn, sampling
 
-# ---------------------------------------------------------------- scalars
+# scalars
 _VALUES = "SELECT event_id, value AS x FROM events"
 _SCALARS = {
     "log_modulus": (S.log_modulus, "sign(x) * ln(abs(x) + 1)"),
@@ -32,7 +32,7 @@ for _name, (_f, _sql) in _SCALARS.items():
     query(f"scalar_{_name}", f"SELECT event_id, round({_sql}, 6) + 0.0 AS y FROM ({_VALUES})")(lambda spark, d, f=_f: table(spark, d, "events").select("event_id", r6(f(F.col("value")), "y")))
 
 
-@query("midi_notes", "SELECT n, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][n % 12 + 1] || (n // 12)::VARCHAR AS note, n AS back FROM (SELECT DISTINCT p_size::BIGINT AS n FROM part)")
+@query("midi_notes", "SELECT n, string_split('C C# D D# E F F# G G# A A# B', ' ')[n % 12 + 1] || (n // 12)::VARCHAR AS note, n AS back FROM (SELECT DISTINCT p_size::BIGINT AS n FROM part)")
 def midi_notes(spark, d):
     made = table(spark, d, "part").select(F.col("p_size").cast("long").alias("n")).distinct().withColumn("note", S.midi_to_note(F.col("n")))
     return made.withColumn("back", S.note_to_midi(F.col("note")))
@@ -48,7 +48,7 @@ def content_ranges(spark, d):
     return table(spark, d, "documents").select("doc_id", S.content_range("bytes", F.lit(0), F.floor(F.col("n_chars") / 2), F.col("n_chars")).alias("header"))
 
 
-# ---------------------------------------------------------------- frames to frames: the result's weighted sum tells every position
+# frames to frames: the result's weighted sum tells every position
 def _told(a):
     return r6(F.aggregate(F.transform(a, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), "told")
 
@@ -102,7 +102,7 @@ def array_transpose(spark, d):
     return frames(spark, d).select(F.posexplode("v").alias("position", "x")).groupBy("position").agg(r6(F.sum("x"), "total"), F.count(F.lit(1)).alias("n"))
 
 
-# ---------------------------------------------------------------- bits and codes
+# bits and codes
 @query("pack_bits", f"WITH {FRAMES} SELECT vec_id, (SELECT sum(CASE WHEN v[i] > 0 THEN (1::HUGEINT << (64 - i)) ELSE 0 END) FROM (SELECT unnest(range(1, 65)) AS i))::HUGEINT::VARCHAR AS code FROM frames")
 def pack_bits(spark, d):
     word = F.element_at(A.pack_bits(A.binarize(F.col("v"), 0.0)), 1)
@@ -190,7 +190,7 @@ def trigram_codes(spark, d):
     return bits.groupBy("item_id").agg(F.count(F.lit(1)).alias("bits"), F.sum("bit").alias("told"))
 
 
-# ---------------------------------------------------------------- learning
+# learning
 _POS = f"WITH {FRAMES}, pos AS (SELECT vec_id, (unnest(range(1, 65)) - 1)::INTEGER AS i, unnest(v) AS x FROM frames)"
 
 
@@ -239,7 +239,7 @@ def pca_fit(spark, d):
     return rows.select("vec_id", F.posexplode(fitted.forward(F.col("v"))).alias("component", "x"))
 
 
-# ---------------------------------------------------------------- sampling
+# sampling
 @query("sample_reservoir", "SELECT doc_id, source FROM documents ORDER BY md5(doc_id::VARCHAR || '|0'), doc_id LIMIT 50")
 def sample_reservoir(spark, d):
     """A sampling operator: 50 rows."""

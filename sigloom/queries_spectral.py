@@ -156,7 +156,7 @@ def band_join(spark, d):
     return made.select("vec_id", starts.alias("start_hz"), r6(F.col("total"), "total"))
 
 
-# ---------------------------------------------------------------- synthesis
+# synthesis
 @query("synth_sine", "SELECT i::BIGINT AS ix, round((sin(i * 2 * pi() * 440 / 11025) + sin(i * 2 * pi() * 660 / 11025)) / 2, 6) + 0.0 AS value FROM (SELECT unnest(range(0, 1000000000000 // 90702947)) AS i)")
 def synth_sine(spark, d):
     return synth.sine(spark, 10**12, RATE, [440.0, 660.0]).select("ix", r6(F.col("value"), "value"))

@@ -12,7 +12,7 @@ from .operators import framing, intervals, segment
 from .sources import catalogs
 from .units import TimeDimension, TimeSlice, frame_count, leftover_start
 
-# ---------------------------------------------------------------- framing
+# framing
 _COUNTED = "counted AS (SELECT user_id, ix, value, count(*) OVER (PARTITION BY user_id) AS n FROM series)"
 
 
@@ -89,7 +89,7 @@ def frame_counts(spark, d):
     return rows.select("user_id", framing.frame_total(n, 7, 3, True).alias("padded"), whole.alias("whole"), (whole * 3).cast("long").alias("leftover"))
 
 
-# ---------------------------------------------------------------- intervals
+# intervals
 @query("slices_between", "SELECT user_id, ps AS start_ps, nxt - ps AS duration_ps FROM (SELECT user_id, ps, lead(ps) OVER (PARTITION BY user_id ORDER BY ps) AS nxt FROM (SELECT user_id, (epoch_us(ts) - 1704067200000000) * 1000000 AS ps FROM events)) WHERE nxt IS NOT NULL")
 def slices_between(spark, d):
     return intervals.between(variable(spark, d).select("user_id", "start_ps"), ["user_id"], "start_ps")
@@ -179,7 +179,7 @@ def skip_if_exists(spark, d):
     return intervals.new_only(table(spark, d, "orders").select("o_orderkey"), stored, "o_orderkey")
 
 
-# ---------------------------------------------------------------- segments
+# segments
 _VEC = f"{FRAMES}, f AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ix, v FROM frames)"
 
 
@@ -246,7 +246,7 @@ def phase_unwrap(spark, d):
     return segment.unwrapped(rows, ["user_id"]).select("user_id", "ix", r6(F.col("unwrapped"), "unwrapped"), r6(F.col("gradient"), "gradient"))
 
 
-# ---------------------------------------------------------------- sources, metadata, set operations
+# sources, metadata, set operations
 @query("link_extract", """SELECT page_id, (i - 1)::INTEGER AS position, l[i] AS url FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l, unnest(range(1, len(l) + 1)) AS i FROM pages)""")
 def link_extract(spark, d):
     return catalogs.links(table(spark, d, "pages"))

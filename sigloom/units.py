@@ -190,14 +190,16 @@ class TimeDimension:
         if self.duration is None:
             object.__setattr__(self, "duration", self.frequency)
 
-    @property
-    def rate(self) -> SampleRate:
-        return SampleRate(self.frequency, self.duration)
-
     @property
     def overlap(self) -> int:
+        """What a row shares with the next."""
         return self.duration - self.frequency
 
+    @property
+    def rate(self) -> SampleRate:
+        """The axis without its size."""
+        return SampleRate(frequency=self.frequency, duration=self.duration)
+
     @property
     def span(self) -> int:
         return self.size * self.frequency + self.overlap
