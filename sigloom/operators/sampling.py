@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +48,11 @@ def triplets(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame:
     others = heads.select(F.col(label).alias("__l"), F.col("head"))
     pairs = first.join(others, F.col(label) != F.col("__l")).groupBy(F.col(key).alias("anchor"), "positive").agg(F.min("head").alias("negative"))
     return pairs.select("anchor", "positive", "negative")
+
+
+def epochs(df: DataFrame, by: list[str], n: int, key: list[str], first: int = 0) -> Iterator[DataFrame]:
+    """Stratified samples without end, each by its own seed."""
+    seed = first
+    while True:
+        yield stratified(df, by, n, key, seed)
+        seed += 1

@@ -344,3 +344,41 @@ def streaming_frames(spark, d):
     rows.write.parquet(path)
     made = sinks.drained(stateful.framed(spark.readStream.schema(rows.schema).parquet(path), ["user_id"], 8, 4))
     return made.select("user_id", "frame", r6(F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), "told"))
+
+
+# serving and bands of different widths
+@query("slice_feature", f"WITH {SERIES} SELECT user_id, ix, round(value, 6) + 0.0 AS value FROM series WHERE ix >= 2 AND ix < 9")
+def slice_feature(spark, d):
+    """Seconds 2.5 to 8.2 of every document's feature: what range requests ask for."""
+    from .plans import serving
+    from .signal import Signal
+
+    s = Signal(series(spark, d), ["user_id"], TimeDimension(10**12))
+    return serving.slice_feature(s, {}, 2.5, 8.2).select("user_id", "ix", r6(F.col("value"), "value"))
+
+
+@query("segments_json", f"""WITH {VARIABLE} SELECT event_id, '{{"start":' || (start_ps // 1000000000000)::DOUBLE || ',"duration":' || 2.0::DOUBLE || '}}' AS segment FROM variable""")
+def segments_json(spark, d):
+    """Starts in whole seconds as JSON."""
+    from .plans.serving import slices_json
+
+    whole = F.floor(F.col("start_ps") / 10**12) * F.lit(10**12)
+    return variable(spark, d).select("event_id", slices_json(whole, F.lit(2 * 10**12)).alias("segment"))
+
+
+@query("adaptive_bands", f"WITH {FRAMES} SELECT vec_id, b::INTEGER AS band_ix, round(list_sum(v[lo:hi]), 6) + 0.0 AS total FROM frames, (SELECT unnest([0, 1, 2]) AS b, unnest([1, 5, 17]) AS lo, unnest([4, 16, 64]) AS hi)")
+def adaptive_bands(spark, d):
+    """Frames cut into bands of 4, 12 and 48 coefficients."""
+    from .operators import adaptive
+
+    rows = frames(spark, d).select("vec_id", F.lit(0).alias("ix"), adaptive.banded(F.col("v"), [(0, 4), (4, 16), (16, 64)]).alias("bands"))
+    return adaptive.bands(rows, ["vec_id"]).select("vec_id", "band_ix", r6(A.total(F.col("coeffs")), "total"))
+
+
+@query("adaptive_rasterized", f"WITH {FRAMES} SELECT vec_id, b::INTEGER AS band_ix, 24::INTEGER AS n, round(list_max(list_transform(v[lo:hi], lambda x: abs(x))), 6) + 0.0 AS peak FROM frames, (SELECT unnest([0, 1, 2]) AS b, unnest([1, 5, 17]) AS lo, unnest([4, 16, 64]) AS hi)")
+def adaptive_rasterized(spark, d):
+    """The bands on a grid of 24: each keeps its greatest magnitude."""
+    from .operators import adaptive
+
+    rows = frames(spark, d).select("vec_id", F.lit(0).alias("ix"), adaptive.banded(F.col("v"), [(0, 4), (4, 16), (16, 64)]).alias("bands"))
+    return adaptive.rasterized(rows, ["vec_id"], 24).select("vec_id", "band_ix", F.size("coeffs").alias("n"), r6(A.peak(F.col("coeffs")), "peak"))
