@@ -8,9 +8,10 @@ run of characters that its kind allows and validates it:
 * ``email``: local part, domain of two labels or more, alphabetic last label;
 * ``ip``: four decimal parts of 0 to 255;
 * ``ssn``: 3, 2 and 4 digits with hyphens, in the ranges that are issued;
-* ``card``: 13 to 19 digits, single spaces or hyphens between them, Luhn;
+* ``card``: 13 to 19 digits, single spaces or hyphens between them, Luhn; in a
+  run of groups every part from one group's start to another's end is tried;
 * ``phone``: + or parenthesised area code, 8 to 15 digits in groups;
-* ``iban``: two letters, check digits, modulus 97;
+* ``iban``: two letters, check digits, modulus 97, the country's length before any other;
 * ``login``: user and password of a URL;
 * ``secret``: the value after a credential cue, 8 characters or more with a digit and a letter, or a known key prefix;
 * ``account``: the number after an account cue, 6 digits or more.
@@ -47,14 +48,25 @@ _NUMBER = frozenset("0123456789 -.()+")
 _DIGITS = frozenset("0123456789")
 
 _IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)", re.A)
-_CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", re.A)
+_GROUP = re.compile(r"\d+", re.A)
 _DIAL = re.compile(r"\+\d|\(\d", re.A)
 #: The longest form first: a number may be followed by another after a space.
 _PHONES = [re.compile(r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\) ?)\d{1,4}(?:[ .-]?\d{2,4}){%d}(?!\d)" % n, re.A) for n in (4, 3, 2, 1)]
 _SSN = re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])", re.A)
 _AFTER = re.compile(r"""["']?(?:\s{0,3}(?:no|nr|number|id|code|is)\b\.?)?\s{0,3}[:=#]?\s{0,3}["']?""", re.I | re.A)
+_IBAN = re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){0,7}(?: ?[A-Z0-9]{1,3})?", re.A)
 _ASSIGN = re.compile(r"""["']?\s{0,3}(?:[:=]\s{0,3}|\s)["']?""", re.A)
 
+#: Characters of a country's IBAN.
+_IBAN_SIZES = {
+    n: frozenset(countries.split())
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+
 Span = tuple[int, int, str]
 
 
@@ -86,6 +98,20 @@ def _right(text: str, at: int, allowed: frozenset[str]) -> int:
     return at
 
 
+def _joined(found: list[Span]) -> list[Span]:
+    """Spans in order; those that overlap are one, of the first one's kind."""
+    if len(found) < 2:
+        return found
+    found = sorted(found, key=lambda s: (s[0], -s[1], s[2]))
+    out = [found[0]]
+    for lo, hi, kind in found[1:]:
+        if lo < out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]), out[-1][2])
+        else:
+            out.append((lo, hi, kind))
+    return out
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -120,13 +146,33 @@ def _login(text: str, at: int) -> list[Span]:
     return []
 
 
-def _iban(text: str, lo: int, hi: int) -> list[Span]:
-    out = []
-    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", text[lo:hi], re.A):
-        plain = m.group().replace(" ", "")
-        if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
-            out.append((lo + m.start(), lo + m.end(), "iban"))
-    return out
+def _iban(text: str, lo: int) -> list[Span]:
+    """The IBAN that begins at lo; a number or a word in capitals may follow it after a space."""
+    m = _IBAN.match(text, lo)
+    if not m:
+        return []
+    fits = []
+    for hi in range(lo + 15, m.end() + 1):
+        if text[hi - 1] != " " and (hi == len(text) or text[hi] not in _WORD):
+            plain = text[lo:hi].replace(" ", "")
+            if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                fits.append((plain[:2] in _IBAN_SIZES.get(len(plain), ()), hi))
+    return [(lo, max(fits)[1], "iban")] if fits else []
+
+
+def _cards(run: str) -> Iterator[tuple[int, int]]:
+    """Every part of a run, from the start of a group of digits to the end of one, that is a card's number."""
+    groups = [m.span() for m in _GROUP.finditer(run)]
+    for i, (a, b) in enumerate(groups):
+        digits = ""
+        for lo, hi in groups[i : i + 19]:
+            if digits and (lo - b != 1 or run[b] not in " -"):
+                break
+            digits, b = digits + run[lo:hi], hi
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and luhn(digits):
+                yield a, b
 
 
 def _numbers(text: str, at: int, end: int) -> tuple[list[Span], int]:
@@ -134,23 +180,29 @@ def _numbers(text: str, at: int, end: int) -> tuple[list[Span], int]:
     lo, hi = _left(text, at, _NUMBER), _right(text, end, _NUMBER)
     run, out = text[lo:hi], []
 
-    def take(m: re.Match[str] | None, kind: str) -> bool:
-        if m is None:
-            return False
-        a, b = lo + m.start(), lo + m.end()
-        n = sum(c in _DIGITS for c in m.group())
-        if kind == "card" and not luhn("".join(c for c in m.group() if c in _DIGITS)) or kind == "phone" and not 8 <= n <= 15:
-            return False
-        if (a and text[a - 1] in _WORD) or (b < len(text) and text[b] in _WORD) or any(a < y and x < b for x, y, _ in out):
-            return False
-        out.append((a, b, kind))
-        return True
-
-    for kind, pattern in (("ip", _IP), ("ssn", _SSN), ("card", _CARD)):
+    def apart(a: int, b: int) -> bool:
+        return not ((a and text[a - 1] in _WORD) or (b < len(text) and text[b] in _WORD) or any(a < y and x < b for x, y, _ in out))
+
+    def dialled(m: re.Match[str] | None) -> bool:
+        return m is not None and 8 <= sum(c in _DIGITS for c in m.group()) <= 15
+
+    for kind, pattern in (("ip", _IP), ("ssn", _SSN)):
         for m in pattern.finditer(run):
-            take(m, kind)
+            if apart(lo + m.start(), lo + m.end()):
+                out.append((lo + m.start(), lo + m.end(), kind))
+    if hi - lo >= 13:
+        # of parts that overlap, any may be the card: they go together
+        out += _joined([(lo + a, lo + b, "card") for a, b in _cards(run) if apart(lo + a, lo + b)])
     for m in _DIAL.finditer(run):
-        any(take(p.match(run, m.start()), "phone") for p in _PHONES)
+        fits = [(lo + p.start(), lo + p.end(), "phone") for p in (p.match(run, m.start()) for p in _PHONES) if dialled(p)]
+        free = [s for s in fits if apart(*s[:2])]
+        if free:
+            out.append(free[0])
+        elif fits:
+            # a card that begins inside the number, and more than a country code before it
+            cut = min((x for x, y, kind in out if kind == "card" and fits[-1][0] < x < fits[-1][1]), default=lo)
+            if sum(c in _DIGITS for c in text[fits[-1][0] : cut]) > 3:
+                out.append(fits[-1])
     return out, hi
 
 
@@ -186,10 +238,9 @@ def spans(text: str) -> list[Span]:
             if at >= done["digits"]:
                 new, done["digits"] = _numbers(text, at, end)
                 found += new
-                if not new:
-                    lo = _left(text, at, _WORD)
-                    if at - lo == 2 and text[lo:at].isupper():
-                        found += _iban(text, lo, min(len(text), lo + 44))
+                lo = _left(text, at, _WORD)
+                if at - lo == 2 and text[lo:at].isupper():
+                    found += _iban(text, lo)
         elif end > done["value"]:
             if kind == "prefix":
                 hi = _right(text, end, _VALUE)
@@ -198,16 +249,7 @@ def spans(text: str) -> list[Span]:
                 new = _value(text, end, kind)
             found += new
             done["value"] = max([done["value"], *(s[1] for s in new)])
-    if len(found) < 2:
-        return found
-    found.sort(key=lambda s: (s[0], -s[1], s[2]))
-    out = [found[0]]
-    for lo, hi, kind in found[1:]:
-        if lo < out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]), out[-1][2])
-        else:
-            out.append((lo, hi, kind))
-    return out
+    return _joined(found)
 
 
 def masked(text: str, where: list[Span]) -> str:
