@@ -6,11 +6,14 @@ shrink to one row for each distinct shape of a host with its numbers of pages an
 of good and bad labels.  The tree is then built level by level, all hosts at
 once, on these rows:
 
-* a segment is a variable where a node has more than ``children`` different ones
-  and it holds less than one in ``children`` of the node's pages; it becomes ``*``;
-* siblings whose subtrees begin alike and whose bad shares differ from the rest
-  of them by no more than ``z`` standard errors are merged into ``*`` as well;
-* what remains is literal.
+* a segment is small where a node has more than ``children`` different ones and
+  it holds less than one in ``children`` of the node's pages; a small one whose
+  bad share differs from that of the other small ones by no more than ``z``
+  standard errors is a variable and becomes ``*``;
+* larger siblings whose subtrees begin alike and whose bad shares differ from the
+  rest of them, and from the node's variables, by no more than ``z`` standard
+  errors are merged into ``*`` as well;
+* what remains is literal, and so is judged by its own labels.
 
 A template is rejected if its smoothed bad share,
 (bad + strength * prior) / (labelled + strength) with the corpus's bad share as
@@ -81,6 +84,14 @@ def _kind(segment: Column) -> Column:
     return F.when(segment.isNull(), "end").when(segment.contains("<n>"), "number").when(segment.contains("<e>"), "escape").otherwise("word")
 
 
+def _apart(good: Column, bad: Column, rest_good: Column, rest_bad: Column) -> Column:
+    """Standard errors between the bad shares of a segment and of the rest."""
+    m, rest_m = good + bad, rest_good + rest_bad
+    # shares with one half added to either side, so that a share of 0 or 1 has an error too
+    p, q = (bad + 0.5) / (m + 1), (rest_bad + 0.5) / (rest_m + 1)
+    return F.abs(p - q) / F.sqrt(p * (1 - p) / (m + 1) + q * (1 - q) / (rest_m + 1))
+
+
 def _level(rows: DataFrame, d: int, how: Tree) -> DataFrame:
     """Append one segment to every template that has one at depth d."""
     v, following = F.get("seg", F.lit(d)), F.get("seg", F.lit(d + 1))
@@ -88,14 +99,17 @@ def _level(rows: DataFrame, d: int, how: Tree) -> DataFrame:
     going, ended = rows.where("v IS NOT NULL"), rows.where("v IS NULL")
     child = going.groupBy("host", "t", "v").agg(F.sum("n").alias("cn"), F.sum("g").alias("cg"), F.sum("b").alias("cb"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("sig"))
     node = child.groupBy("host", "t").agg(F.sum("cn").alias("pn"), F.count(F.lit(1)).alias("k"))
-    child = child.join(node, ["host", "t"]).withColumn("variable", (F.col("k") > how.children) & (F.col("cn") * how.children < F.col("pn")))
-    like = child.where("NOT variable").groupBy("host", "t", "sig").agg(F.sum("cg").alias("sg"), F.sum("cb").alias("sb"), F.count(F.lit(1)).alias("brothers"))
-    child = child.join(like, ["host", "t", "sig"], "left")
-    m, rest_b, rest_m = F.col("cg") + F.col("cb"), F.col("sb") - F.col("cb"), F.col("sg") + F.col("sb") - F.col("cg") - F.col("cb")
-    # shares with one half added to either side, so that a share of 0 or 1 has an error too
-    p, q = (F.col("cb") + 0.5) / (m + 1), (rest_b + 0.5) / (rest_m + 1)
-    apart = F.abs(p - q) / F.sqrt(p * (1 - p) / (m + 1) + q * (1 - q) / (rest_m + 1))
-    alike = ~F.col("variable") & (F.col("brothers") > 1) & (apart <= how.z)
+    child = child.join(node, ["host", "t"]).withColumn("small", (F.col("k") > how.children) & (F.col("cn") * how.children < F.col("pn")))
+    few = child.where("small").groupBy("host", "t").agg(F.sum("cg").alias("fg"), F.sum("cb").alias("fb"))
+    child = child.join(few, ["host", "t"], "left")
+    own = (F.col("cg"), F.col("cb"))
+    child = child.withColumn("variable", F.col("small") & (_apart(*own, F.col("fg") - F.col("cg"), F.col("fb") - F.col("cb")) <= how.z))
+    star = child.where("variable").groupBy("host", "t").agg(F.sum("cg").alias("vg"), F.sum("cb").alias("vb"))
+    like = child.where("NOT small").groupBy("host", "t", "sig").agg(F.sum("cg").alias("sg"), F.sum("cb").alias("sb"), F.count(F.lit(1)).alias("brothers"))
+    child = child.join(star, ["host", "t"], "left").join(like, ["host", "t", "sig"], "left")
+    with_brothers = (F.col("brothers") > 1) & (_apart(*own, F.col("sg") - F.col("cg"), F.col("sb") - F.col("cb")) <= how.z)
+    with_variables = F.col("vg").isNull() | (_apart(*own, F.col("vg"), F.col("vb")) <= how.z)
+    alike = ~F.col("small") & with_brothers & with_variables
     word = F.when(F.col("variable") | alike, "*").otherwise(F.col("v"))
     step = child.select("host", "t", "v", F.concat_ws("/", "t", word).alias("new"))
     out = [c for c in rows.columns if c not in ("v", "kind", "t")]
