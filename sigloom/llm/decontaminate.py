@@ -34,7 +34,8 @@ from .shared import same_columns
 from .textkernel import Words, by_block, grams
 
 SPANS = StructType([StructField(n, LongType()) for n in ("doc_id", "item_id", "doc_word", "item_word", "n_words")])
-_SPANS = pa.schema([(f.name, pa.int64()) for f in SPANS])
+KEYED_SPANS = StructType([*SPANS, StructField("doc_key", LongType())])
+_SPANS, _KEYED_SPANS = (pa.schema([(f.name, pa.int64()) for f in x]) for x in (SPANS, KEYED_SPANS))
 _BITS = 22
 
 
@@ -140,7 +141,7 @@ def find_spans(docs: DataFrame, tests: DataFrame, how: Winnowing = Winnowing())
     docs, tests = same_columns(docs, "doc_id", "text"), same_columns(tests, "item_id", "text")
     index = small_index(tests, how)
     if index is None:
-        return _shuffled(docs, tests, how)
+        return _shuffled(docs, tests, how).select(SPANS.names).distinct()
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch | None:
@@ -156,7 +157,7 @@ def find_spans(docs: DataFrame, tests: DataFrame, how: Winnowing = Winnowing())
 
 
 def _shuffled(docs: DataFrame, tests: DataFrame, how: Winnowing) -> DataFrame:
-    """The same rows when the benchmark is too large to broadcast."""
+    """The same rows when the benchmark is too large to broadcast, each with doc_key, the hash of its document's text."""
 
     def prints(name: str):
         def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
@@ -182,24 +183,23 @@ def _shuffled(docs: DataFrame, tests: DataFrame, how: Winnowing) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 a, b = Words([r["doc_text"]]).hash, Words([r["item_text"]]).hash
-                rows += [(r["doc_id"], r["item_id"], *x) for by in r["shifts"] for x in extend(a, b, by, how.span)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_SPANS)
+                rows += [(r["doc_id"], r["item_id"], *x, r["doc_key"]) for by in r["shifts"] for x in extend(a, b, by, how.span)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_KEYED_SPANS)
 
-    return both.select("doc_id", "item_id", "shifts", "doc_text", "item_text").mapInArrow(work, SPANS).distinct()
+    return both.select("doc_id", "doc_key", "item_id", "shifts", "doc_text", "item_text").mapInArrow(work, KEYED_SPANS).distinct()
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, how: Winnowing = Winnowing()) -> DataFrame:
     """The rows of docs, all columns, that share no span with tests.
 
-    With a broadcast index each row is judged where it is read; otherwise the
-    contaminated ids are joined away (a null id is then kept only if no
-    contaminated row has a null id).
+    Each row is judged by its own text: where it is read with a broadcast index,
+    otherwise by joining the contaminated pairs of id and text away.
     """
     index = small_index(same_columns(tests, "item_id", "text"), how)
     if index is None:
-        bad = _shuffled(same_columns(docs, "doc_id", "text"), same_columns(tests, "item_id", "text"), how).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+        bad = _shuffled(same_columns(docs, "doc_id", "text"), same_columns(tests, "item_id", "text"), how).select(F.col("doc_id").alias("__bad"), F.col("doc_key").alias("__key")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]) & (F.xxhash64(docs["text"]) == bad["__key"]), "left_anti")
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
