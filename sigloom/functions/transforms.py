@@ -104,8 +104,12 @@ def rfft(a: Column, n: int) -> Column:
 
 
 def irfft(z: Column, n: int) -> Column:
+    """n samples of n // 2 + 1 coefficients, orthonormal."""
+    m = n // 2 + 1
+    if n > JVM_SIZE:
+        return frames_udf(lambda x: np.fft.irfft(x[:, :m] + 1j * x[:, m:], n, norm="ortho"))(F.concat(z["re"], z["im"]))
     re, im = rfft_matrices(n)
-    twice = np.full(n // 2 + 1, 2.0)
+    twice = np.full(m, 2.0)
     twice[0] = 1.0
     if n % 2 == 0:
         twice[-1] = 1.0

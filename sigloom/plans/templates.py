@@ -53,15 +53,20 @@ def with_onsets(by: list[str], window: int, step: int, frequency: int) -> Graph:
 
 
 def frequency_adaptive(by: list[str], window: int, step: int, samples_per_second: int, scale, wfunc=hann) -> Graph:
-    """Bands of a long spectrum, each transformed back by itself: low bands get few coefficients in time, high ones many."""
+    """Bands of a long spectrum, windowed, each by its own inverse real FFT: m complex coefficients give 2 (m - 1) in time, few for low bands, many for high ones."""
     g = stft(by, window, step)
     bins = X.linear_bins(samples_per_second, window)
     edges = [(lo, min(hi, len(bins))) for lo, hi in map(bins.bins, scale)]
+    if any(hi - lo == 1 for lo, hi in edges):
+        raise ValueError("a band of one coefficient has no inverse real FFT")
+
+    def band(lo: int, hi: int):
+        part = lambda x: windowed(A.band(F.col(f"fft.{x}"), lo, hi), hi - lo, wfunc).alias(x)
+        return X.irfft(F.struct(part("re"), part("im")), 2 * (hi - lo - 1))
 
     def make(df):
-        mag = F.col("magnitude")
-        parts = [F.struct(F.lit(i).alias("band_ix"), X.idct(windowed(A.band(mag, lo, hi), hi - lo, wfunc), hi - lo).alias("coeffs")) for i, (lo, hi) in enumerate(edges) if hi > lo]
-        return df.withColumn("magnitude", F.col("fft.re")).select(*by, "ix", F.array(*parts).alias("bands"))
+        parts = [F.struct(F.lit(i).alias("band_ix"), band(lo, hi).alias("coeffs")) for i, (lo, hi) in enumerate(edges) if hi > lo]
+        return df.select(*by, "ix", F.array(*parts).alias("bands"))
 
     return g.add("freq_adaptive", make, "fft")
 
