@@ -8,15 +8,17 @@ every shared span of at least that many words is found.  Each hit is then
 extended along its diagonal to the maximal spans.
 
 Work per document is one pass of the vectorised kernel where the text already
-is.  The benchmark's index is broadcast while it has at most
-``broadcast_words`` words (its size is counted first); a larger benchmark takes
-the shuffled path, which joins the two fingerprint tables and sends only the
-texts of candidate pairs on.  Both give the same rows.
+is, in parts if the text is long.  The benchmark's index is broadcast while its
+texts have at most ``broadcast_bytes`` bytes (they are measured first); a larger
+benchmark takes the shuffled path, which joins the two fingerprint tables and
+sends only the texts of candidate pairs on.  Both give the same rows.
 
 Defined results: a null or empty text on either side has no spans; texts shorter
 than ``k + window - 1`` words never match; a null id is carried; equal rows of
-the same id give one row; empty tables give no rows; other columns are ignored
-by ``find_spans`` and kept by ``drop_contaminated``.
+the same id give one row of ``find_spans``, while ``drop_contaminated`` judges
+each row by its own text and keeps all clean ones, repeated or not; empty tables
+give no rows; other columns are ignored by ``find_spans`` and kept, whatever
+their names, by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import same_columns
-from .textkernel import Words, by_block, grams
+from .shared import fresh, same_columns
+from .textkernel import Hashed, by_block, grams
 
 SPANS = StructType([StructField(n, LongType()) for n in ("doc_id", "item_id", "doc_word", "item_word", "n_words")])
 KEYED_SPANS = StructType([*SPANS, StructField("doc_key", LongType())])
 _SPANS, _KEYED_SPANS = (pa.schema([(f.name, pa.int64()) for f in x]) for x in (SPANS, KEYED_SPANS))
 _BITS = 22
+#: Words that are winnowed at a time.
+_SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -45,16 +49,15 @@ class Winnowing:
 
     k: int = 8
     window: int = 6
-    broadcast_words: int = 4_000_000
+    broadcast_bytes: int = 32 << 20
 
     @property
     def span(self) -> int:
         return self.k + self.window - 1
 
 
-def winnow(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of a block: hash and first word, each position once."""
-    h, at = grams(words, k)
+def _winnow(hashes: np.ndarray, doc: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    h, at = grams(hashes, doc, k)
     size = len(h) - window + 1
     if size <= 0:
         return h[:0], at[:0]
@@ -64,11 +67,25 @@ def winnow(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         lower = other <= least
         np.copyto(least, other, where=lower)
         where[lower] = j
-    whole = words.doc[at[:size]] == words.doc[at[window - 1 :]]
+    whole = doc[at[:size]] == doc[at[window - 1 :]]
     chosen = np.unique((where + np.arange(size))[whole])
     return h[chosen], at[chosen]
 
 
+def winnow(words: Hashed, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a block: hash and first word, each position once."""
+    found, reach = [], k + window - 2
+    for lo in range(0, max(1, len(words) - reach), _SLICE):
+        part = slice(lo, lo + _SLICE + reach)  # all windows that begin in the slice
+        h, at = _winnow(words.hash[part], words.doc[part], k, window)
+        found.append((h, at + lo))
+    if len(found) == 1:
+        return found[0]
+    h, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    at, once = np.unique(at, return_index=True)
+    return h[once], at
+
+
 def _runs(a: np.ndarray, b: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
     """Start and length of the maximal runs of equal elements."""
     same = np.concatenate([[False], a == b, [False]])
@@ -91,7 +108,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]], how: Winnowing):
         self.ids = [i for i, _ in items]
-        words = Words([t or "" for _, t in items])
+        words = Hashed([t or "" for _, t in items])
         h, at = winnow(words, how.k, how.window)
         order = np.argsort(h, kind="stable")
         self.hash, self.at = h[order], at[order]
@@ -110,7 +127,7 @@ class Index:
 
     def spans(self, texts: list[str], how: Winnowing) -> list[tuple[int, int, int, int, int]]:
         """(document, item, document word, item word, words) of a block, once each."""
-        words = Words(texts)
+        words = Hashed(texts)
         h, at = winnow(words, how.k, how.window)
         here, there = self.hits(h)
         d, i = words.doc[at[here]], self.item[there]
@@ -123,15 +140,10 @@ class Index:
         return out
 
 
-def _n_words(text: str):
-    return F.coalesce(F.size(F.split(F.col(text), r"\s+")), F.lit(0))
-
-
 def small_index(tests: DataFrame, how: Winnowing) -> Index | None:
     """The index if the benchmark is small enough to broadcast, else None."""
-    total = tests.agg(F.coalesce(F.sum(F.coalesce(F.length("text"), F.lit(0))), F.lit(0)), F.count(F.lit(1))).first()
-    # a word takes two characters at least, its separator included
-    if total[0] > 2 * how.broadcast_words and (tests.agg(F.sum(_n_words("text"))).first()[0] or 0) > how.broadcast_words:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    if (tests.agg(F.sum(size)).first()[0] or 0) > how.broadcast_bytes:
         return None
     return Index([(r[0], r[1]) for r in tests.select("item_id", "text").collect()], how)
 
@@ -161,7 +173,7 @@ def _shuffled(docs: DataFrame, tests: DataFrame, how: Winnowing) -> DataFrame:
 
     def prints(name: str):
         def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-            words = Words(texts)
+            words = Hashed(texts)
             h, at = winnow(words, how.k, how.window)
             d = words.doc[at]
             keys = [batch.column(i).take(pa.array(d, pa.int64())) for i in (0, 1)]
@@ -182,7 +194,7 @@ def _shuffled(docs: DataFrame, tests: DataFrame, how: Winnowing) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                a, b = Words([r["doc_text"]]).hash, Words([r["item_text"]]).hash
+                a, b = Hashed([r["doc_text"]]).hash, Hashed([r["item_text"]]).hash
                 rows += [(r["doc_id"], r["item_id"], *x, r["doc_key"]) for by in r["shifts"] for x in extend(a, b, by, how.span)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_KEYED_SPANS)
@@ -198,8 +210,9 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame, how: Winnowing = Winnow
     """
     index = small_index(same_columns(tests, "item_id", "text"), how)
     if index is None:
-        bad = _shuffled(same_columns(docs, "doc_id", "text"), same_columns(tests, "item_id", "text"), how).select(F.col("doc_id").alias("__bad"), F.col("doc_key").alias("__key")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]) & (F.xxhash64(docs["text"]) == bad["__key"]), "left_anti")
+        i, k = fresh(docs, "bad_id"), fresh(docs, "bad_key")
+        bad = _shuffled(same_columns(docs, "doc_id", "text"), same_columns(tests, "item_id", "text"), how).select(F.col("doc_id").alias(i), F.col("doc_key").alias(k)).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad[i]) & (F.xxhash64(docs["text"]) == bad[k]), "left_anti")
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:

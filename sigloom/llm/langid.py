@@ -17,12 +17,14 @@ shuffled; profiles hold ``size`` rows a language and travel with the tasks.
 
 Defined results: null and empty texts have no language (null) and are rejected;
 rows without an id or declared language are judged but not learned from;
-repeated rows are judged each; without any profile all rows are rejected; extra
-columns are ignored by ``identify`` and kept by ``drop_unknown``.
+repeated rows are judged each; without any profile all rows are rejected; a long
+text is read in parts, whose counts are added; extra columns are ignored by
+``identify`` and kept by ``drop_unknown``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import same_columns
-from .textkernel import Words, by_block
+from .textkernel import Words, by_block, fold, is_long, parts
 
 
 @dataclass(frozen=True)
@@ -91,8 +93,51 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys >> room, code, count
 
 
+def _spaced(text: str) -> Iterator[np.ndarray]:
+    """A long text in parts, folded, with one space before each word and after the last."""
+    open_word, last = False, None
+    for cps in parts(text):
+        chars = fold(cps)
+        inside = chars != 0
+        before = np.concatenate([[open_word], inside[:-1]])
+        # the first character outside a word stands for the space after it, and is dropped until the next word is sure
+        keep = inside | before
+        out = np.where(inside, chars, 32).astype(np.uint32)[keep]
+        if last is None and len(out):
+            out = np.concatenate([np.array([32], np.uint32), out])
+        if len(out):
+            last = out[-1]
+            yield out
+        open_word = bool(inside[-1]) if len(inside) else open_word
+    if last is not None and last != 32:
+        yield np.array([32], np.uint32)
+
+
+def _long_counts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gram_counts of one long text."""
+    code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held = np.zeros(0, np.uint32)
+    wide = lambda x, by: x.astype(np.uint64) << np.uint64(by)
+    for new in _spaced(text):
+        c, m = np.concatenate([held, new]), len(held)  # n-grams that end in the new part
+        grams = [wide(c[m:][c[m:] != 32], 42)]
+        a, b = c[max(m - 1, 0) : -1], c[max(m - 1, 0) + 1 :]
+        grams.append(wide(a, 42) | wide(b, 21))
+        at = max(m - 2, 0)
+        a, b, e = c[at:-2], c[at + 1 : -1], c[at + 2 :]
+        inner = b != 32
+        grams.append((wide(a, 42) | wide(b, 21) | e.astype(np.uint64))[inner])
+        found, n = np.unique(np.concatenate(grams), return_counts=True)
+        both, back = np.unique(np.concatenate([code, found]), return_inverse=True)
+        code, count = both, np.bincount(back, weights=np.concatenate([count, n]), minlength=len(both)).astype(np.int64)
+        held = c[-2:]
+    return np.zeros(len(code), np.int64), code, count
+
+
 def _blocks(texts: list[str]):
     """gram_counts, in parts if the characters of a block are too many to be coded together."""
+    if is_long(texts):
+        return [(0, *_long_counts(texts[0]))]
     try:
         return [(0, *gram_counts(texts))]
     except ValueError:

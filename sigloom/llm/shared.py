@@ -2,7 +2,9 @@
 
 Iterative operators cut their lineage by writing a table into the folder that
 the cluster names in ``spark.checkpoint.dir``, which all executors share.  Only
-where that setting is missing (tests on one machine) a folder is made here.
+where that setting is missing (tests on one machine) a folder is made here; a
+session with executors on other machines is refused then.  Tables go when the
+session ends, those of an iteration as soon as the next one is there.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sigloom-")
@@ -34,6 +39,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,3 +56,11 @@ def drop(df: DataFrame) -> None:
 def same_columns(df: DataFrame, *needed: str) -> DataFrame:
     """Only the needed columns, so that no other column's name can clash with an operator's own."""
     return df.select(*[df[c] for c in needed])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .samples import labelled
 from .shared import same_columns
-from .textkernel import Words, by_block, mix
+from .textkernel import Hashed, by_block, mix
 
 
 @dataclass(frozen=True)
@@ -46,16 +46,26 @@ _PAIR = np.uint64(0x9FB21C651E98DF25)
 _SKIP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def features(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """document and bucket of every word, pair and skip-pair."""
-    shift, h, d = np.uint64(64 - bits), words.hash, words.doc
-    doc, out = [d], [mix(h) >> shift]
-    for step, by in ((1, _PAIR), (2, _SKIP)):
-        if len(h) > step:
-            at = np.flatnonzero(d[:-step] == d[step:])
-            doc.append(d[at])
-            out.append(mix(h[at] * by + h[at + step]) >> shift)
-    return np.concatenate(doc), np.concatenate(out).astype(np.int64)
+#: Words whose features are made at a time.
+_SLICE = 1 << 18
+
+
+def features(words: Hashed, bits: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Document << bits | bucket, once each, of every word, pair and skip-pair; only of the known buckets if they are given."""
+    shift, out = np.uint64(64 - bits), [np.zeros(0, np.int64)]
+    for lo in range(0, len(words), _SLICE):
+        h, d = words.hash[lo : lo + _SLICE + 2], words.doc[lo : lo + _SLICE + 2]
+        for step, by in ((0, None), (1, _PAIR), (2, _SKIP)):
+            n = min(_SLICE, len(h) - step)
+            if n <= 0:
+                continue
+            at = np.flatnonzero(d[:n] == d[step : n + step])
+            bucket = ((mix(h[at]) if by is None else mix(h[at] * by + h[at + step])) >> shift).astype(np.int64)
+            if known is not None:
+                has = known[bucket]
+                at, bucket = at[has], bucket[has]
+            out.append(np.unique((d[at] << bits) | bucket))
+    return np.unique(np.concatenate(out))
 
 
 class Model:
@@ -71,13 +81,11 @@ class Model:
         return self.__dict__ | {"_has": None}
 
     def score(self, texts: list[str]) -> np.ndarray:
-        words = Words(texts)
+        words = Hashed(texts)
         if self._has is None:
             self._has = np.zeros(1 << self.how.bits, bool)
             self._has[self.buckets] = True
-        doc, bucket = features(words, self.how.bits)
-        at = self._has[bucket]
-        pair = np.unique((doc[at] << self.how.bits) | bucket[at])
+        pair = features(words, self.how.bits, self._has)
         weight = self.weights[np.searchsorted(self.buckets, pair & ((1 << self.how.bits) - 1))]
         total = self.bias + np.bincount(pair >> self.how.bits, weights=weight, minlength=words.n)
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
@@ -129,8 +137,7 @@ def train(rows: list[tuple[np.ndarray, int]], how: Ftrl) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> Model:
     def encode(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        doc, bucket = features(Words(texts), how.bits)
-        pair = np.unique((doc << how.bits) | bucket)
+        pair = features(Hashed(texts), how.bits)
         cuts = np.searchsorted(pair >> how.bits, np.arange(len(texts) + 1))
         lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(pair & ((1 << how.bits) - 1), pa.int32()))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["doc_id", "label", "buckets"])

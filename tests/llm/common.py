@@ -19,12 +19,13 @@ def prose(rng: random.Random, n: int, lang: str = "en") -> str:
 
 
 def odd_rows() -> list[tuple]:
-    """Null and empty texts, ids and languages, repeated rows, signs only, one very long text."""
+    """Null and empty texts, ids and languages, repeated rows (also without a word), signs only, long texts: prose, white space, without a space."""
     rng = random.Random(3)
     long = prose(rng, 60_000)
     return [
         (1, None, "en", "a", None), (2, "", "en", "a", 0), (3, "   \n\t", None, None, 5), (None, "the ring is on the re", "en", "a", 21), (None, None, None, None, None),
         (5, "%%% ### $$$", "de", "b", 11), (6, "the ring is on the re", "en", "a", 21), (6, "the ring is on the re", "en", "a", 21), (7, long, "en", "a", len(long)), (8, "x", "en", "a", 1), (9, "🙂 𝔘𝔫𝔦 ıİ", "en", "a", 8),
+        (2, "", "en", "a", 0), (5, "%%% ### $$$", "de", "b", 11), (10, " \n" * 150_000, "en", "a", 300_000), (11, "0af3" * 80_000, "en", "a", 320_000),
     ]
 
 

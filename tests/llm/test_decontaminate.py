@@ -44,7 +44,7 @@ def test_equals_brute_force_on_both_paths(spark):
     expected = brute(texts, items, 13)
     assert {n for *_, n in expected}
     for limit in (10**6, 1):
-        got = find_spans(docs(spark, texts), benchmark(spark, items), Winnowing(broadcast_words=limit)).collect()
+        got = find_spans(docs(spark, texts), benchmark(spark, items), Winnowing(broadcast_bytes=limit)).collect()
         assert {tuple(r) for r in got} == expected and len(got) == len(expected)
 
 
@@ -52,7 +52,7 @@ def test_drops_only_what_shares_a_span(spark):
     texts, items = planted()
     bad = {d for d, *_ in brute(texts, items, 13)}
     for limit in (10**6, 1):
-        kept = drop_contaminated(clashing(docs(spark, texts)), benchmark(spark, items), Winnowing(broadcast_words=limit))
+        kept = drop_contaminated(clashing(docs(spark, texts)), benchmark(spark, items), Winnowing(broadcast_bytes=limit))
         assert {r.doc_id for r in kept.collect()} == {d for d, _ in texts} - bad
         assert kept.columns == clashing(docs(spark, texts)).columns
 
@@ -60,7 +60,7 @@ def test_drops_only_what_shares_a_span(spark):
 def test_odd_rows_and_empty_tables(spark):
     odd, items = docs(spark, odd_rows()), benchmark(spark, [(1, None), (2, ""), (None, "the ring is on the re"), (3, "short")])
     for limit in (10**6, 1):
-        how = Winnowing(broadcast_words=limit)
+        how = Winnowing(broadcast_bytes=limit)
         assert find_spans(clashing(odd), items, how).count() == 0
         assert drop_contaminated(odd, items, how).count() == odd.count()
         assert find_spans(odd.limit(0), items, how).count() == 0 and find_spans(odd, items.limit(0), how).count() == 0

@@ -24,14 +24,14 @@ def test_both_paths_keep_the_same_rows(spark):
     bad, good, items = rows_and_items()
     frame = clashing(docs(spark, bad + good))
     for limit in LIMITS:
-        kept = drop_contaminated(frame, benchmark(spark, items), Winnowing(broadcast_words=limit))
+        kept = drop_contaminated(frame, benchmark(spark, items), Winnowing(broadcast_bytes=limit))
         assert kept.columns == frame.columns
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(good, key=repr)
 
 
 def test_both_paths_find_the_same_spans(spark):
     bad, good, items = rows_and_items()
-    one, other = ([tuple(r) for r in find_spans(docs(spark, bad + good), benchmark(spark, items), Winnowing(broadcast_words=limit)).collect()] for limit in LIMITS)
+    one, other = ([tuple(r) for r in find_spans(docs(spark, bad + good), benchmark(spark, items), Winnowing(broadcast_bytes=limit)).collect()] for limit in LIMITS)
     assert sorted(one, key=repr) == sorted(other, key=repr) and len(one) == 3
 
 
@@ -39,4 +39,4 @@ def test_two_texts_of_an_id_with_the_same_span_give_one_row(spark):
     _, _, items = rows_and_items()
     texts = [(3, items[0][1] + " one"), (3, items[0][1] + " two")]
     for limit in LIMITS:
-        assert find_spans(docs(spark, texts), benchmark(spark, items[:1]), Winnowing(broadcast_words=limit)).count() == 1
+        assert find_spans(docs(spark, texts), benchmark(spark, items[:1]), Winnowing(broadcast_bytes=limit)).count() == 1
