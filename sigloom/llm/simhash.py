@@ -16,10 +16,11 @@ components of the pairs, found by alternating large and small stars; each round
 is a table in the shared folder.  No step collects or broadcasts anything.
 
 Defined results: null and empty texts and texts without a word have no
-fingerprint and are never copies; rows repeated with the same id are copies of
-each other; the kept row of a group is the one with the least id (null ids
-last, then the least text hash); empty tables give no rows; extra columns are
-ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+fingerprint, are never copies and all stay; rows repeated with the same id are
+copies of each other; exactly one row of a group is kept, that with the least id
+(null ids last, then the least hash; of equal rows any one); empty tables give
+no rows; extra columns are ignored by ``near_duplicates`` and kept, whatever
+their names, by ``drop_near_duplicates``; a long text is read in parts.
 """
 
 from __future__ import annotations
@@ -29,29 +30,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, same_columns, written
-from .textkernel import Words, by_block, mix
+from .shared import drop, fresh, same_columns, written
+from .textkernel import Hashed, by_block, mix
 
 BITS = 128
 #: Widths of the segments, low bits first; none crosses the two 64-bit halves.
 SEGMENTS = ((0, 22), (22, 21), (43, 21), (64, 22), (86, 21), (107, 21))
 RADIUS = 17
 _SALT = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15))
-_ROWS = 1 << 15
+#: Hashes voted on at a time.
+_ROWS = 1 << 13
+#: Keys of lost rows up to this number are broadcast (some 100 bytes each); more are joined by a shuffle, with the same rows.
+BROADCAST_KEYS = 400_000
 
 
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(n, 2) uint64 fingerprints, and which texts have a word."""
-    words = Words(texts)
+    words = Hashed(texts)
     out = np.zeros((words.n, 2), np.uint64)
     if not len(words):
         return out, np.zeros(words.n, bool)
-    order = np.lexsort((words.hash, words.doc))
-    h, d = words.hash[order], words.doc[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-    at = np.flatnonzero(new)
+    if words.n == 1:
+        h, d = np.sort(words.hash), words.doc
+    else:
+        order = np.lexsort((words.hash, words.doc))
+        h, d = words.hash[order], words.doc[order]
+    at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
+    times = np.diff(np.append(at, len(h)))
     h, d = h[at], d[at]
-    weight = np.rint(16 * (1 + np.log(np.diff(np.append(at, len(order)))))).astype(np.int32)
+    weight = np.rint(16 * (1 + np.log(times))).astype(np.int32)
     votes, total = np.zeros((words.n, BITS), np.int64), np.zeros(words.n, np.int64)
     for lo in range(0, len(h), _ROWS):
         part = slice(lo, lo + _ROWS)
@@ -141,30 +148,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Every fingerprinted row (k1, k2, doc_id) with its group's first row (g_id, g1, g2) and size."""
-    all_prints = written(prints(same_columns(docs, "doc_id", "text")), "prints")
+    """Every fingerprinted row (k1, k2, doc_id) with its group's first row (g_id) and size, and whether it is that row."""
+    # the row's number tells equal rows apart; the written table holds it fast
+    all_prints = written(prints(same_columns(docs, "doc_id", "text")).withColumn("row", F.monotonically_increasing_id()), "prints")
     found = components(pairs(all_prints.select("lo", "hi").distinct(), radius))
     labels = found.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), F.col("label.hi").alias("lhi"), F.col("label.lo").alias("llo"))
     rows = all_prints.join(labels, ["hi", "lo"], "left").withColumns({"lhi": F.coalesce("lhi", "hi"), "llo": F.coalesce("llo", "lo")})
-    rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k1", "k2")
+    rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k1", "k2", "row")
     heads = rows.groupBy("lhi", "llo").agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(heads, ["lhi", "llo"]).select("k1", "k2", "doc_id", F.col("head.doc_id").alias("g_id"), F.col("head.k1").alias("g1"), F.col("head.k2").alias("g2"), "n")
+    return rows.join(heads, ["lhi", "llo"]).select("k1", "k2", "doc_id", F.col("head.doc_id").alias("g_id"), "n", (F.col("row") == F.col("head.row")).alias("keep"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Documents that have copies: doc_id, group_id (the kept document), group_size, keep."""
-    return groups(docs, radius).select("doc_id", F.col("g_id").alias("group_id"), F.col("n").alias("group_size"), ((F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))).alias("keep"))
+    return groups(docs, radius).select("doc_id", F.col("g_id").alias("group_id"), F.col("n").alias("group_size"), "keep")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs, all columns, without the rows that are copies of a kept one."""
-    found = written(groups(docs, radius).select("k1", "k2", ((F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))).alias("keep")), "groups")
-    k1, k2 = "__sigloom_k1", "__sigloom_k2"
-    judged = found.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.max("keep").alias("__sigloom_keep"), F.count(F.lit(1)).alias("__sigloom_n"))
-    lost = judged.where("NOT __sigloom_keep").select(k1, k2)
+    """docs, all columns, without the rows that are copies of a kept one.
+
+    Texts stay where they are: the keys of lost rows go to them, by broadcast if
+    they are few.  Only a kept row that is itself repeated is shuffled.
+    """
+    found = written(groups(docs, radius).select("k1", "k2", "keep"), "groups")
+    k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
+    judged = found.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.max("keep").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    gone = written(judged.where("NOT kept OR rows > 1"), "lost")
+    lost, repeated = gone.select(k1, k2), gone.where("kept").select(k1, k2)
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
     keyed = docs.withColumns({k1: F.xxhash64(docs["doc_id"].cast("long"), docs["text"]), k2: F.hash(docs["text"], docs["doc_id"].cast("long"))})
-    left = keyed.join(lost, [k1, k2], "left_anti")
-    return left.dropDuplicates([k1, k2]).select(*[left[c] for c in docs.columns])
+    left = keyed.join(few(lost), [k1, k2], "left_anti")
+    if not repeated.isEmpty():
+        left = left.unionByName(keyed.join(few(repeated), [k1, k2], "left_semi").dropDuplicates([k1, k2]))
+    return left.drop(k1, k2)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from sigloom.llm import simhash
 from sigloom.llm.simhash import RADIUS, components, drop_near_duplicates, fingerprints, near_duplicates, pairs
 
 from .common import clashing, docs, odd_rows, prose, words
@@ -87,8 +88,23 @@ def test_components_of_long_chains(spark):
 
 
 def test_odd_rows(spark):
-    kept = drop_near_duplicates(docs(spark, odd_rows())).collect()
+    rows = odd_rows()
+    kept = drop_near_duplicates(clashing(docs(spark, rows))).collect()
     ids = [r.doc_id for r in kept]
-    assert ids.count(6) == 1 and ids.count(None) == 1 and sorted(i for i in ids if i is not None) == [1, 2, 3, 5, 6, 7, 8, 9]
-    assert near_duplicates(docs(spark, odd_rows())).count() == 3
+    # (6, t) twice and (None, t) are one group; what has no word all stays, repeated or not
+    assert ids.count(6) == 1 and ids.count(None) == 1 and [r.text for r in kept if r.doc_id is None] == [None]
+    assert sorted(i for i in ids if i is not None) == sorted([6, *(i for i, *_ in rows if i not in (None, 6))])
+    found = near_duplicates(docs(spark, rows)).collect()
+    assert len(found) == 3 and sum(r.keep for r in found) == 1 and {r.group_size for r in found} == {3}
     assert near_duplicates(docs(spark, [])).count() == 0 and drop_near_duplicates(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("limit", [simhash.BROADCAST_KEYS, 0])
+def test_one_of_repeated_rows_is_kept(spark, monkeypatch, limit):
+    """The same by broadcast and by shuffle; rows without a fingerprint are no copies, even if equal."""
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", limit)
+    rows = [(None, None), (7, ""), (8, "%%%"), (9, None)] * 2 + [(6, "the ring is on the re")] * 4 + [(5, "another text with words")]
+    kept = [(r.doc_id, r.text) for r in drop_near_duplicates(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, None), (7, ""), (8, "%%%"), (9, None)] * 2 + [(6, "the ring is on the re"), (5, "another text with words")], key=str)
+    found = near_duplicates(docs(spark, rows)).collect()
+    assert [r.doc_id for r in found] == [6] * 4 and sum(r.keep for r in found) == 1
