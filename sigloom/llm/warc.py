@@ -8,14 +8,17 @@ members (or mixes both) gives the same output.
 
 A stream cannot be split, so the unit of work is a file, one to a task; records
 are copied in chunks and only one record's compressed bytes are in memory.
-Output is written under a name of its own and renamed when whole; its bytes
-depend on the input alone, so a task that is repeated after a lost executor
-leaves the same files.  Paths may be on any file system that pyarrow opens.
-
-Defined results: an empty file gives an empty file and sidecar; a stream that
-breaks off or has a damaged header keeps the records that were whole before it showed and
-ends with an index row of type "damaged" and length 0; a record without a URI has a
-null one.  For ``from_pages``: null HTML is an empty payload, a null URL is left
+Output is written under a name of its own and renamed when whole, over what an
+earlier attempt has left; its bytes depend on the input alone, so a task that is
+repeated after a lost executor leaves the same files.  Paths may be on any file
+system that pyarrow opens.
+
+Defined results: an empty file gives an empty file and sidecar; where a stream breaks
+off, is damaged or shows no proper header, the record that it broke is lost, an index
+row of type "damaged" and length 0 stands for it, and work goes on at the next gzip
+member, or at the next line that begins a record, so all whole records that can still
+be found are kept (nothing after the damage of a single stream can); a record without
+a URI has a null one.  For ``from_pages``: null HTML is an empty payload, a null URL is left
 out of the header, repeated rows are records each, line ends in a URL are
 percent-escaped (the URI of such a record is the escaped one), extra columns are
 ignored, and an empty table gives no records.
@@ -39,7 +42,9 @@ from pyspark.sql import functions as F
 from .shared import new_path, written
 
 CHUNK = 1 << 18
-MAX_HEADER = 1 << 20
+#: A header without an end within so many bytes is damage.
+MAX_HEADER = 1 << 26
+_MAGIC = b"\x1f\x8b\x08"
 INDEX = "file string, record long, offset long, length long, type string, record_id string, uri string, payload_bytes long, sha1 string"
 _INDEX = pa.schema([("file", pa.string()), ("record", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("sha1", pa.string())])
 
@@ -48,38 +53,72 @@ class Damaged(Exception):
     pass
 
 
-def inflated(stream: BinaryIO) -> Iterator[bytes]:
-    """Content of a gzip file of one or more members."""
-    z, fresh = zlib.decompressobj(31), True
-    while data := stream.read(CHUNK):
-        while data:
-            try:
-                out = z.decompress(data, 4 * CHUNK)
-            except zlib.error as e:
-                raise Damaged(str(e)) from e
-            fresh = False
-            if out:
-                yield out
-            if z.eof:
-                data, z, fresh = z.unused_data, zlib.decompressobj(31), True
-                if not data.strip(b"\0"):  # padding
-                    data = b""
-            else:
-                data = z.unconsumed_tail
+def inflated(stream: BinaryIO) -> Iterator[bytes | None]:
+    """Content of a gzip file of one or more members; None stands for what damage hides, up to the next member that inflates."""
+    z, fresh, lost, tried = zlib.decompressobj(31), True, False, False
+    data = b""
+    while data or (data := stream.read(CHUNK)):
+        try:
+            if lost:  # look for a member's first bytes, also where a read divides them
+                at = data.find(_MAGIC)
+                if at < 0:
+                    more = stream.read(CHUNK)
+                    data = data[-2:] + more if more else b""
+                    continue
+                data, z, lost, tried = data[at:], zlib.decompressobj(31), False, True
+            out = z.decompress(data, 4 * CHUNK)
+        except zlib.error:
+            if not (fresh and tried):  # else these bytes only look like a member's first, in a gap already told of
+                yield None
+            fresh, lost, data = True, True, data[1:]
+            continue
+        fresh = tried = False
+        if out:
+            yield out
+        if z.eof:
+            data, z, fresh = z.unused_data, zlib.decompressobj(31), True
+            if not data.strip(b"\0"):  # padding
+                data = b""
+        else:
+            data = z.unconsumed_tail
     if not fresh:
-        raise Damaged("the stream breaks off")
+        yield None
 
 
 class _Reader:
-    def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.held = chunks, b""
+    def __init__(self, chunks: Iterator[bytes | None]):
+        self.chunks, self.held, self.gap = chunks, b"", False
 
     def more(self) -> bool:
+        """Whether there is more; a gap is no more until seek() has passed it."""
+        if self.gap:
+            return False
         for chunk in self.chunks:
+            if chunk is None:
+                self.gap = True
+                return False
             self.held += chunk
             return True
         return False
 
+    def seek(self) -> bool:
+        """Go to the next line that begins a record; whether there is one."""
+        start = False
+        while True:
+            if self.gap:
+                self.held, self.gap, start = b"", False, True
+            if start and self.held.startswith(b"WARC/"):
+                return True
+            at = self.held.find(b"\nWARC/")
+            if at >= 0:
+                self.held = self.held[at + 1 :]
+                return True
+            start = start and len(self.held) < 5
+            if not start:
+                self.held = self.held[-5:]
+            if not self.more() and not self.gap:
+                return False
+
     def skip_blank(self) -> bool:
         """Whether a record follows."""
         while True:
@@ -125,8 +164,12 @@ def normalise(source: BinaryIO, target: BinaryIO, name: str) -> list[dict]:
     """Rewrite one file; its index rows."""
     reader, rows, offset = _Reader(inflated(source)), [], 0
     row = lambda **x: dict.fromkeys(_INDEX.names) | {"file": name, "record": len(rows), "offset": offset} | x
-    try:
-        while reader.skip_blank():
+    while True:
+        try:
+            if not reader.skip_blank():
+                if reader.gap:
+                    raise Damaged("the stream breaks off")
+                return rows
             head = reader.header()
             fields = _fields(head)
             size, sha = int(fields["content-length"]), hashlib.sha1()
@@ -140,9 +183,10 @@ def normalise(source: BinaryIO, target: BinaryIO, name: str) -> list[dict]:
             target.write(member)
             rows.append(row(length=len(member), type=fields.get("warc-type"), record_id=fields.get("warc-record-id"), uri=fields.get("warc-target-uri"), payload_bytes=size, sha1=sha.hexdigest()))
             offset += len(member)
-    except Damaged:
-        rows.append(row(length=0, type="damaged"))
-    return rows
+        except Damaged:
+            rows.append(row(length=0, type="damaged"))
+            if not reader.seek():
+                return rows
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -157,7 +201,13 @@ def _plain(uri: str) -> str:
 
 def _commit(fs: pafs.FileSystem, files: dict[str, str]) -> None:
     for temporary, final in files.items():
-        fs.move(temporary, final)
+        try:
+            fs.move(temporary, final)
+        except OSError:  # some file systems do not move onto a file, which a former attempt has left
+            if fs.get_file_info(final).type == pafs.FileType.NotFound:
+                raise
+            fs.delete_file(final)
+            fs.move(temporary, final)
 
 
 def normalise_files(spark: SparkSession, paths: list[str], out_dir: str) -> DataFrame:
@@ -165,7 +215,7 @@ def normalise_files(spark: SparkSession, paths: list[str], out_dir: str) -> Data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, base in (held.value[i] for i in batch.column(0).to_pylist()):
                 source_fs, source = _fs(_plain(path))
                 fs, folder = _fs(_plain(out_dir))
                 fs.create_dir(folder, recursive=True)
@@ -183,8 +233,8 @@ def normalise_files(spark: SparkSession, paths: list[str], out_dir: str) -> Data
         names = [f"{i:06d}-{n}" for i, n in enumerate(names)]
     if not paths:
         return spark.createDataFrame([], INDEX)
-    jobs = spark.createDataFrame(list(zip(paths, names, strict=True)), "path string, name string").repartition(len(paths))
-    return written(jobs.mapInArrow(work, INDEX), "warc-index")
+    held = spark.sparkContext.broadcast(list(zip(paths, names, strict=True)))  # names only, as they were given
+    return written(spark.range(0, len(paths), 1, len(paths)).mapInArrow(work, INDEX), "warc-index")
 
 
 def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
@@ -211,7 +261,7 @@ def from_pages(pages: DataFrame, out_dir: str) -> list[str]:
                     any_rows = True
             f.write(z.flush())
         if any_rows:
-            fs.move(own, f"{folder}/{name}")
+            _commit(fs, {own: f"{folder}/{name}"})
             yield pa.RecordBatch.from_pydict({"name": [name]})
         else:
             fs.delete_file(own)
