@@ -1,9 +1,11 @@
 import random
+import re
 from collections import Counter
 
 import pytest
 
-from sigloom.llm.packing import Packing, encoding, pack, place
+from sigloom.llm import packing
+from sigloom.llm.packing import Packing, encoding, pack, place, tokens, vocabulary
 
 from .common import clashing, docs, odd_rows, prose
 
@@ -31,8 +33,12 @@ def test_histogram_steps_equal_piece_by_piece(seed):
 
 def check(spark, rows, how):
     got = pack(clashing(docs(spark, rows)), how).collect()
-    encode = encoding(how.vocabulary).encode_ordinary
-    assert Counter((r.doc_id, r.start, r.length) for r in got) == Counter((d, s, min(how.sequence, n - s)) for d, t, *_ in rows for n in [len(encode(t)) if t else 0] for s in range(0, n, how.sequence))
+    encode = encoding(vocabulary(how))
+    expected = Counter()
+    for d, t, *_ in rows:
+        x = [*(tokens(encode, t).tolist() if t and len(t) > 100_000 else encode.encode_ordinary(t)), encode.n_vocab] if t else []
+        expected.update((d, s, tuple(x[s : s + how.sequence])) for s in range(0, len(x), how.sequence))
+    assert Counter((r.doc_id, r.start, tuple(r.tokens)) for r in got) == expected and all(len(r.tokens) == r.length for r in got)
     by = {}
     for r in got:
         by.setdefault(r.pack_id, []).append((r.offset, r.length))
@@ -49,10 +55,28 @@ def check(spark, rows, how):
 
 def test_every_token_has_its_place(spark):
     rng = random.Random(4)
-    check(spark, [(i, prose(rng, rng.randint(1, 120))) for i in range(120)], Packing(sequence=64, buckets=5))
+    for limit in (10**6, 0):
+        check(spark, [(i, prose(rng, rng.randint(1, 120))) for i in range(120)], Packing(sequence=64, broadcast_counts=limit))
 
 
 def test_odd_rows(spark):
     got = check(spark, odd_rows(), Packing(sequence=256))
     assert not {1, 2} & {r.doc_id for r in got} and sum(r.doc_id == 6 for r in got) == 2
     assert pack(docs(spark, [])).count() == 0 and pack(docs(spark, [(1, None), (2, "")])).count() == 0
+
+
+def test_runs_of_white_space_are_encoded_as_the_pattern_has_them(monkeypatch):
+    encode, rng = encoding(vocabulary(Packing())), random.Random(6)
+    texts = ["".join(rng.choice([" ", "\n", "\t", "  ", " " * 9, "a", "b1", "!", "é", "\x1c", "it's "]) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    expected = [encode.encode_ordinary(t) for t in texts]
+    for run in (2, 5):
+        monkeypatch.setattr(packing, "_LONG_SPACE", re.compile(packing._LONG_SPACE.pattern.replace("16384", str(run))))
+        monkeypatch.setattr(packing, "_APART", 0)
+        monkeypatch.setattr(packing, "_PART", 9)
+        assert [tokens(encode, t).tolist() for t in texts] == expected
+
+
+def test_long_runs_do_not_break_the_engine():
+    encode = encoding(vocabulary(Packing()))
+    for text in (" " * 1_200_000 + "x", "\n" * 1_200_000, "a \n" * 400_000):
+        assert encode.decode(tokens(encode, text).tolist()) == text
