@@ -214,4 +214,5 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / (norm(a) * norm(b))
+    """1 where either has no length."""
+    return F.coalesce(1 - F.try_divide(dot(a, b), norm(a) * norm(b)), F.when(a.isNotNull() & b.isNotNull(), 1.0))

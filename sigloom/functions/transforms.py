@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..scales import ChromaScale, LinearScale, Scale, a_weighting
-from .arrays import each, literal, matmul, times, total
+from .arrays import each, let, literal, matmul, times, total
 
 #: Frames up to this size are transformed in the JVM.
 JVM_SIZE = 256
@@ -56,20 +57,28 @@ def by_matrix(a: Column, matrix: np.ndarray) -> Column:
 
 
 def frames_udf(f: Callable[[np.ndarray], np.ndarray]):
-    """A pandas UDF from frames of one length (rows of a matrix) to frames; null frames stay null."""
-
-    def run(s: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(s), dtype=object)
-        some = s.notna()
-        for n, rows in s[some].groupby(s[some].map(len)):
-            if n:
-                out.loc[rows.index] = pd.Series(list(f(np.stack([np.asarray(x, float) for x in rows]))), index=rows.index)
-            else:
-                out.loc[rows.index] = pd.Series([[]] * len(rows), index=rows.index)
-        return out
-
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<double>")
+    """An Arrow UDF from frames of one length (rows of a matrix) to frames; null frames stay null."""
+
+    def rows(a: pa.Array, n: int) -> pa.Array:
+        if not n:
+            return a.cast(pa.list_(pa.float64()))
+        made = np.ascontiguousarray(f(np.asarray(a.flatten().to_numpy(zero_copy_only=False), float).reshape(len(a), n)), float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * made.shape[1], pa.int32()), pa.array(made.ravel()))
+
+    def run(a: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+        found = np.unique(sizes[~np.isnan(sizes)] if a.null_count else sizes)
+        if len(found) == 1 and not a.null_count:
+            return rows(a, int(found[0]))
+        out, where = [pa.nulls(1, pa.list_(pa.float64()))], np.zeros(len(a), np.int64)
+        for n in found:
+            at = np.flatnonzero(sizes == n)
+            where[at] = sum(map(len, out)) + np.arange(len(at))
+            out.append(rows(a.take(pa.array(at)), int(n)))
+        return pa.concat_arrays(out).take(pa.array(where))
+
+    run.__annotations__ = {"a": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<double>")
 
 
 def dct(a: Column, n: int) -> Column:
@@ -98,9 +107,9 @@ def rfft(a: Column, n: int) -> Column:
     if n <= JVM_SIZE:
         re, im = rfft_matrices(n)
         return F.struct(matmul(re, a).alias("re"), matmul(im, a).alias("im"))
-    re = frames_udf(lambda x: np.fft.rfft(x, n, norm="ortho").real)
-    im = frames_udf(lambda x: np.fft.rfft(x, n, norm="ortho").imag)
-    return F.struct(re(a).alias("re"), im(a).alias("im"))
+    m = n // 2 + 1
+    both = frames_udf(lambda x: np.concatenate([(z := np.fft.rfft(x, n, norm="ortho")).real, z.imag], axis=1))
+    return let(both(a), lambda y: F.struct(F.slice(y, 1, m).alias("re"), F.slice(y, m + 1, m).alias("im")))
 
 
 def irfft(z: Column, n: int) -> Column:

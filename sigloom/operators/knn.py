@@ -1,16 +1,21 @@
 """Exact nearest neighbours on packed codes and on vectors.
 
-Each query's neighbours are a top-k by (distance, id).  While there are at most
-``BROADCAST_QUERIES`` queries (they are counted) they travel to the index: every
-Arrow batch of it is compared with all of them in numpy blocks and gives its own
-k best, so the shuffle carries k rows for each query and batch, whatever the
-index's size.  More queries, or a distance given as an expression, take Spark's
-cross join, which also keeps k rows a task before it shuffles.
+Each query's neighbours are a top-k by (distance, id).  Queries travel to the index
+in blocks of at most ``BROADCAST_BYTES`` (they are measured): every Arrow batch of
+the index is compared with a block in numpy and gives its own k best, so the shuffle
+carries k rows for each query and batch, whatever the index's size, and no pair is
+made outside numpy.  More queries are more blocks, by a hash of their id, with the
+same rows.  A distance given as an expression takes Spark's cross join, which also
+keeps k rows a task before it shuffles.
+
+The cosine distance of a vector without length is 1.  A distance that is not a
+number comes after all others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import arrays as A
 
-BROADCAST_QUERIES = 50_000
+BROADCAST_BYTES = 32 << 20
 #: Numbers in a block of differences.
 _BLOCK = 4_000_000
 
@@ -43,7 +48,7 @@ def _blockwise(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     if metric == "cosine":
         lengths = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
         with np.errstate(invalid="ignore", divide="ignore"):
-            return 1 - np.einsum("id,jd->ij", x, q) / lengths
+            return np.where(lengths == 0, 1.0, 1 - np.einsum("id,jd->ij", x, q) / lengths)
     d = x[:, None, :] - q[None, :, :]
     if metric == "cityblock":
         return np.abs(d).sum(2)
@@ -69,13 +74,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str | Distance
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q")).where("__q IS NOT NULL")
     rows = index.select(F.col(id).alias("id"), F.col(vector).alias("__v")).where("__v IS NOT NULL")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    small = q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    if small and isinstance(metric, str):
-        scored = _streamed(rows, q, k, metric, digits)
+    if isinstance(metric, str):
+        size = q.agg(F.sum(F.size("__q").cast("long") * 8 + 16)).first()[0] or 0
+        blocks = max(1, -(-size // BROADCAST_BYTES))
+        parts = [q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+        scored = reduce(DataFrame.unionByName, [_streamed(rows, part, k, metric, digits) for part in parts])
     else:
-        measure = METRICS[metric] if isinstance(metric, str) else metric
-        pairs = rows.crossJoin(F.broadcast(q) if small else q)
-        scored = pairs.select("query_id", "id", measure(F.col("__v"), F.col("__q")).alias("distance"))
+        scored = rows.crossJoin(q).select("query_id", "id", metric(F.col("__v"), F.col("__q")).alias("distance"))
         if dict(scored.dtypes)["distance"] == "double":
             scored = scored.withColumn("distance", F.round("distance", digits))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -105,7 +110,8 @@ def _streamed(rows: DataFrame, queries: DataFrame, k: int, metric: str, digits:
                 if metric != "hamming":
                     d = np.round(d, digits) + 0.0
                 if len(d) > k:
-                    row, col = np.nonzero(d <= np.partition(d, k - 1, axis=0)[k - 1])
+                    order = d if metric == "hamming" else np.where(np.isnan(d), np.inf, d)
+                    row, col = np.nonzero(order <= np.partition(order, k - 1, axis=0)[k - 1])
                 else:
                     row, col = (a.ravel() for a in np.indices(d.shape))
                 order = np.lexsort((place[row], d[row, col], col))

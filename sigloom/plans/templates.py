@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import transforms as X
 from ..functions.windows import hann, oggvorbis, windowed
-from ..operators import framing, segment, synth
+from ..operators import adaptive, framing, segment, synth
 from ..scales import Band, BarkScale, ChromaScale
 from .graph import Graph
 
@@ -57,18 +57,8 @@ def frequency_adaptive(by: list[str], window: int, step: int, samples_per_second
     g = stft(by, window, step)
     bins = X.linear_bins(samples_per_second, window)
     edges = [(lo, min(hi, len(bins))) for lo, hi in map(bins.bins, scale)]
-    if any(hi - lo == 1 for lo, hi in edges):
-        raise ValueError("a band of one coefficient has no inverse real FFT")
-
-    def band(lo: int, hi: int):
-        part = lambda x: windowed(A.band(F.col(f"fft.{x}"), lo, hi), hi - lo, wfunc).alias(x)
-        return X.irfft(F.struct(part("re"), part("im")), 2 * (hi - lo - 1))
-
-    def make(df):
-        parts = [F.struct(F.lit(i).alias("band_ix"), band(lo, hi).alias("coeffs")) for i, (lo, hi) in enumerate(edges) if hi > lo]
-        return df.select(*by, "ix", F.array(*parts).alias("bands"))
-
-    return g.add("freq_adaptive", make, "fft")
+    bands = adaptive.fft_bands(F.col("fft"), edges, wfunc)
+    return g.add("freq_adaptive", lambda df: df.select(*by, "ix", bands.alias("bands")), "fft")
 
 
 def learning(by: list[str], key: list[str], n: int) -> Graph:

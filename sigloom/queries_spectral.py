@@ -11,7 +11,7 @@ from .catalogue import FRAMES, SERIES, frames, query, r6, series, table
 from .functions import arrays as A
 from .functions import transforms as X
 from .functions.windows import hann, oggvorbis
-from .operators import framing, synth
+from .operators import adaptive, framing, synth
 from .plans import templates
 from .scales import Band, BarkScale, ChromaScale, GeometricScale, LinearScale, MelScale, a_weighting
 from .sources import wav
@@ -250,6 +250,67 @@ def frequency_decomposition(spark, d):
     return made.select("vec_id", F.size("m").alias("bands"), r6(A.total(F.col("m")), "mean"))
 
 
+_EDGES = [(0, 9), (6, 20), (17, 33)]
+_DCT_EDGES = [(0, 20), (16, 44), (40, 64)]
+
+
+def _fft_map(v: np.ndarray) -> list[np.ndarray]:
+    """A frame's bands by numpy's own transforms."""
+    z = np.fft.rfft(v, norm="ortho")
+    return [np.fft.irfft(z[lo:hi] * np.hanning(hi - lo), norm="ortho") for lo, hi in _EDGES]
+
+
+def _fft_back(bands: list[np.ndarray]) -> np.ndarray:
+    z = np.zeros(33, complex)
+    for (lo, hi), b in zip(_EDGES, bands, strict=True):
+        z[lo:hi] += np.fft.rfft(b, norm="ortho")
+    return np.fft.irfft(z, 64, norm="ortho")
+
+
+def _dct_map(v: np.ndarray) -> list[np.ndarray]:
+    c = X.dct2_matrix(64) @ v
+    return [X.dct2_matrix(hi - lo).T @ (c[lo:hi] * np.hanning(hi - lo)) for lo, hi in _DCT_EDGES]
+
+
+def _dct_back(bands: list[np.ndarray]) -> np.ndarray:
+    c = np.zeros(64)
+    for (lo, hi), b in zip(_DCT_EDGES, bands, strict=True):
+        c[lo:hi] += X.dct2_matrix(hi - lo) @ b
+    return X.dct2_matrix(64).T @ c
+
+
+def _as_matrix(f) -> np.ndarray:
+    return np.stack([f(e) for e in np.eye(64)], axis=1)
+
+
+_MAPS = {"adaptive_fft_bands": lambda v: np.concatenate(_fft_map(v)), "adaptive_fft_synthesis": lambda v: _fft_back(_fft_map(v)), "adaptive_dct_bands": lambda v: np.concatenate(_dct_map(v)), "adaptive_dct_synthesis": lambda v: _dct_back(_dct_map(v))}
+_MADE = {
+    "adaptive_fft_bands": lambda v: adaptive.flat(adaptive.fft_bands(X.rfft(v, 64), _EDGES)),
+    "adaptive_fft_synthesis": lambda v: X.irfft(adaptive.fft_spectrum(adaptive.fft_bands(X.rfft(v, 64), _EDGES), _EDGES, 33), 64),
+    "adaptive_dct_bands": lambda v: adaptive.flat(adaptive.dct_bands(X.dct(v, 64), _DCT_EDGES)),
+    "adaptive_dct_synthesis": lambda v: X.idct(adaptive.dct_spectrum(adaptive.dct_bands(X.dct(v, 64), _DCT_EDGES), _DCT_EDGES, 64), 64),
+}
+for _name, _f in _MAPS.items():
+    query(_name, f"WITH {FRAMES} SELECT vec_id, {_told_sql('y')} FROM (SELECT vec_id, {_product(_as_matrix(_f))} AS y FROM frames)")(lambda spark, d, made=_MADE[_name]: frames(spark, d).select("vec_id", _told(made(F.col("v")))))
+
+
+@query("decomposition_synthesis", f"WITH {FRAMES} SELECT vec_id, {_told_sql('v')} FROM frames")
+def decomposition_synthesis(spark, d):
+    """The bands of a frame, each brought to its length and added, are the frame."""
+    sizes = [16, 32, 64]
+    bands = X.frames_udf(lambda x: np.stack([np.concatenate(X.frequency_decomposition(row, sizes)) for row in x]))(F.col("v"))
+    parts = F.array(*[F.slice("b", 1 + sum(sizes[:i]), n) for i, n in enumerate(sizes)])
+    return frames(spark, d).withColumn("b", bands).select("vec_id", _told(adaptive.from_decomposition(parts, sizes, 64)))
+
+
+@query("decomposition_lowest", f"WITH {FRAMES} SELECT vec_id, {_told_sql('y')} FROM (SELECT vec_id, {_product(X.fft_resampled(X.fft_resampled(np.eye(64), 16), 64).T)} AS y FROM frames)")
+def decomposition_lowest(spark, d):
+    """Only the lowest band, at the frame's length."""
+    bands = X.frames_udf(lambda x: np.stack([np.concatenate(X.frequency_decomposition(row, [16, 64])) for row in x]))(F.col("v"))
+    parts = F.array(F.slice("b", 1, 16), F.slice("b", 17, 64))
+    return frames(spark, d).withColumn("b", bands).select("vec_id", _told(adaptive.from_decomposition(parts, [16, 64], 64, {0})))
+
+
 @query("filter_bank")
 def filter_bank(spark, d):
     """Rectified Morlet band levels, pooled over 16 samples."""

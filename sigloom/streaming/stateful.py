@@ -30,15 +30,17 @@ def framed(df: DataFrame, by: list[str], window: int, step: int, before: int = 0
     """by, frame, samples of a stream by..., ix, value, last; ``before`` zeros precede the first row.
 
     As in a batch: a frame that is exactly full waits until more rows come or the
-    series ends, when the tail is filled with zeros.
+    series ends, when the tail is filled with zeros.  Of windows further apart than
+    they are long, the rows between are skipped, also across chunks.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = _sorted(batches)
-        tail, at = state.get if state.exists else ([0.0] * before, 0)
+        tail, at, skip = state.get if state.exists else ([0.0] * before, 0, 0)
         held = np.concatenate([np.asarray(tail, float), pdf.value.to_numpy(float)])
+        held, skip = held[skip:], max(0, skip - len(held))
         end = bool(pdf["last"].any())
-        n = frame_count(len(held), window, step, pad=end)
+        n = frame_count(at * step - skip + len(held), window, step) - at if end else frame_count(len(held), window, step, pad=False)
         if n:
             size = (n - 1) * step + window
             x = np.pad(held, (0, max(0, size - len(held))))
@@ -47,9 +49,9 @@ def framed(df: DataFrame, by: list[str], window: int, step: int, before: int = 0
         if end:
             state.remove()
         else:
-            state.update((held[n * step :].tolist(), at + n))
+            state.update((held[n * step :].tolist(), at + n, skip + max(0, n * step - len(held))))
 
-    return df.select(*by, "ix", "value", "last").groupBy(*by).applyInPandasWithState(run, f"{_keys(df, by)}, frame long, samples array<double>", "tail array<double>, at long", "append", GroupStateTimeout.NoTimeout)
+    return df.select(*by, "ix", "value", "last").groupBy(*by).applyInPandasWithState(run, f"{_keys(df, by)}, frame long, samples array<double>", "tail array<double>, at long, skip long", "append", GroupStateTimeout.NoTimeout)
 
 
 def flux(df: DataFrame, by: list[str]) -> DataFrame:
