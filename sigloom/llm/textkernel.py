@@ -15,6 +15,7 @@ Null texts count as empty here; operators decide what null means to them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -217,12 +218,22 @@ def blocks(texts: Iterable[str | None], limit: int = BLOCK_CHARS) -> Iterator[tu
         yield at, run
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's return of free memory to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda _: 0
+
+
 def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches, each after the memory of the one before has gone back to the system: allocators keep it otherwise, also while a worker waits."""
     for batch in batches:
         yield batch
         del batch
         pa.default_memory_pool().release_unused()
+        _trim()(0)
 
 
 def by_block(batches: Iterable[pa.RecordBatch], column: str, work: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
