@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns all that it keeps; its result
 is written as Parquet into the shared folder and read again by the next, so no
-stage depends on the executors of an earlier one.
+stage depends on the executors of an earlier one.  An empty table stays empty through
+all stages; columns beyond those of documents are kept, whatever their names, up to the
+last stage, which has its own.
 """
 
 from __future__ import annotations
@@ -22,27 +24,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language go; so do null, empty and wordless texts.  Repeated rows are judged each; of equally near languages the first by name counts, which changes nothing here."""
     return drop_unknown(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that with the least id (null ids last); of equal rows one.  What has no word is no copy and stays."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a span with the benchmark go."""
+    """Documents that share a span with the benchmark go, each row by its own text; null and short texts stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind, and n_chars brought up to date; a null text stays null.  No row goes."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a training sequence."""
+    """Every piece of every document with its tokens and its place in a training sequence; null and empty texts have none."""
     return pack(docs)
 
 
