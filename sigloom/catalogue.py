@@ -67,4 +67,4 @@ VARIABLE = """variable AS (SELECT user_id, event_id, value, start_ps, lead(start
 
 def load() -> None:
     """Register all queries."""
-    from . import queries_core, queries_spectral, queries_tables  # noqa: F401
+    from . import queries_core, queries_spectral, queries_streaming, queries_tables  # noqa: F401

@@ -151,6 +151,11 @@ def reshape(a: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / width).cast("int") - 1), lambda i: F.slice(a, i * width + 1, width))
 
 
+def squeeze(a: Column) -> Column:
+    """The one element of an axis of size 1; an axis of another size is an error, a null stays null."""
+    return F.when(F.size(a) == 1, F.element_at(a, 1)).when(a.isNotNull(), F.raise_error(F.lit("only an axis of size 1 can be squeezed")))
+
+
 def sharpen(a: Column, kernel: Sequence[float]) -> Column:
     """Convolution of the same size, negative results cut off."""
     k = list(reversed([float(x) for x in kernel]))

@@ -252,6 +252,26 @@ def autocorrelation(a: Column) -> Column:
     return frames_udf(run)(a)
 
 
+def auto_correlogram(a: Column, bank: np.ndarray, width: int) -> Column:
+    """Correlation of every window of ``width`` filtered samples with itself: window, lag from -width to width - 1, filter, flat.
+
+    Filters are applied where they lie whole inside the frame, so a frame of n samples has
+    n - taps - width + 2 windows; a shorter one has none.  A long series is framed first, in
+    steps of k samples with windows of k + taps + width - 2.  Scaled by 1 / sqrt(2 width).
+    """
+
+    def run(x: np.ndarray) -> np.ndarray:
+        taps = bank.shape[1]
+        if x.shape[1] < taps + width - 1:
+            return np.zeros((len(x), 0))
+        y = np.lib.stride_tricks.sliding_window_view(x, taps, axis=1) @ bank.T
+        z = np.fft.fft(np.lib.stride_tricks.sliding_window_view(y, width, axis=1), 2 * width, norm="ortho")
+        r = np.fft.ifft(np.abs(z) ** 2, norm="ortho").real
+        return np.fft.fftshift(r, axes=-1).transpose(0, 1, 3, 2).reshape(len(x), -1)
+
+    return frames_udf(run)(a)
+
+
 def linear_bins(samples_per_second: int, n: int) -> LinearScale:
     """The bins of an rfft of n samples."""
     return LinearScale.from_sample_rate(samples_per_second, n // 2 + 1)

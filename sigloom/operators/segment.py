@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +83,28 @@ def unwrapped(df: DataFrame, by: list[str], ix: str = "ix", value: str = "phase"
     jump = F.col(value) - F.coalesce(F.lag(value).over(w), F.col(value))
     made = df.withColumn("__k", -F.round(jump / turn))
     made = made.withColumn("unwrapped", F.col(value) + turn * F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__k")
+    return made.withColumn("gradient", _slope(w))
+
+
+def rainbowgram(df: DataFrame, by: list[str], ix: str = "ix", re: str = "re", im: str = "im") -> DataFrame:
+    """by, ix, colors: red, green and blue of every bin, flat; hue is the phase's change in time, brightness the log magnitude.
+
+    Both are scaled to [0, 1] over the whole series (constant ones are 0).  The hue's
+    scale has 256 steps from violet to red.
+    """
+    bins = df.select(*by, ix, F.posexplode(F.arrays_zip(F.col(re).alias("re"), F.col(im).alias("im"))).alias("__bin", "z"))
+    made = bins.select(*by, ix, "__bin", F.log1p(F.abs(F.col("z.re")) * 1000).alias("__m"), F.atan2("z.im", "z.re").alias("phase"))
+    made = unwrapped(made, [*by, "__bin"], ix)
+    ends = made.groupBy(*by).agg(*[f(c).alias(f"__{n}_{c}") for c in ("__m", "gradient") for n, f in (("low", F.min), ("high", F.max))])
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    both = made.alias("a").join(ends.alias("b"), functools.reduce(lambda p, q: p & q, same, F.lit(True)))
+    unit = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__low_{c}"), F.col(f"__high_{c}") - F.col(f"__low_{c}")), F.lit(0.0))
+    hue = F.least(F.floor(unit("gradient") * 256), F.lit(255)) / 255
+    rgb = F.array(*[F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * unit("__m") for x in (F.abs(2 * hue - 0.5), F.sin(hue * math.pi), F.cos(hue * math.pi / 2))])
+    cells = both.select(*[F.col(f"a.{c}").alias(c) for c in by], ix, F.struct("__bin", rgb.alias("rgb")).alias("cell"))
+    return cells.groupBy(*by, ix).agg(F.flatten(F.transform(F.array_sort(F.collect_list("cell")), lambda c: c["rgb"])).alias("colors"))
+
+
+def _slope(w) -> Column:
     last, nxt = F.lag("unwrapped").over(w), F.lead("unwrapped").over(w)
-    slope = F.when(last.isNull() & nxt.isNull(), 0.0).when(last.isNull(), nxt - F.col("unwrapped")).when(nxt.isNull(), F.col("unwrapped") - last).otherwise((nxt - last) / 2)
-    return made.withColumn("gradient", slope)
+    return F.when(last.isNull() & nxt.isNull(), 0.0).when(last.isNull(), nxt - F.col("unwrapped")).when(nxt.isNull(), F.col("unwrapped") - last).otherwise((nxt - last) / 2)

@@ -48,6 +48,23 @@ class Signal:
     def map(self, f: Callable[[Column], Column], scale: Scale | None = None) -> Signal:
         return replace(self, df=self.df.withColumn(self.value, f(F.col(self.value))), scale=scale or self.scale)
 
+    def reduced(self, axis: str, how: str = "sum") -> Signal | DataFrame:
+        """Without one axis, "time" or "scale", by sum, max, min or mean.
+
+        Over the scale a signal of numbers stays; over time a table of one value or
+        frame (of equal sizes) a series.
+        """
+        if axis == "scale":
+            f = {"sum": A.total, "max": F.array_max, "min": F.array_min, "mean": A.mean}[how]
+            return replace(self, df=self.df.withColumn(self.value, f(F.col(self.value))), scale=None)
+        if axis != "time":
+            raise ValueError(f"no axis {axis}")
+        f = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg}[how]
+        if self.scale is None:
+            return self.df.groupBy(*self.by).agg(f(self.value).alias(self.value))
+        cells = self.df.select(*self.by, F.posexplode(self.value).alias("__bin", "__x")).groupBy(*self.by, "__bin").agg(f("__x").alias("__x"))
+        return cells.groupBy(*self.by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__bin", "__x"))), lambda c: c["__x"]).alias(self.value))
+
     def slices(self) -> DataFrame:
         return framing.slices(self.df, self.time.frequency, self.time.duration, self.ix)
 

@@ -71,6 +71,35 @@ def flux(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, "ix", "coeffs", "last").groupBy(*by).applyInPandasWithState(run, f"{_keys(df, by)}, ix long, flux double", "before array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def peaks(df: DataFrame, by: list[str], window: int = 11, before: int = 5, threshold: float = 1.25, how: str = "mean") -> DataFrame:
+    """by, ix, peak of a stream by..., ix, value, last, as segment.peaks finds them in the whole series.
+
+    A row is judged when the rows after it that its frame needs are there, or the series
+    ends.  State is the frame's tail and the position of the next row.
+    """
+    after, c = window - before - 1, window // 2
+    if not 0 <= before < window or window < 5:
+        raise ValueError("the frame has 5 rows or more and the judged one is among them")
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(batches)
+        tail, at = state.get if state.exists else ([0.0] * before, 0)
+        end = bool(pdf["last"].any())
+        held = np.concatenate([np.asarray(tail, float), pdf.value.to_numpy(float), np.zeros(after if end else 0)])
+        n = max(0, len(held) - window + 1)
+        if n:
+            x = np.lib.stride_tricks.sliding_window_view(held, window)
+            base = x.mean(1) if how == "mean" else np.median(x, axis=1)
+            found = (x[:, c - 1] > x[:, c - 2]) & (x[:, c] < x[:, c - 1]) & (x[:, c] > threshold * base)
+            yield pd.DataFrame({**{k: [v] * n for k, v in zip(by, key, strict=True)}, "ix": np.arange(at, at + n), "peak": found})
+        if end:
+            state.remove()
+        else:
+            state.update((held[n:].tolist(), at + n))
+
+    return df.select(*by, "ix", "value", "last").groupBy(*by).applyInPandasWithState(run, f"{_keys(df, by)}, ix long, peak boolean", "tail array<double>, at long", "append", GroupStateTimeout.NoTimeout)
+
+
 def segments(df: DataFrame, by: list[str], frequency: int) -> DataFrame:
     """by, start_ps, duration_ps of a stream by..., ix, peak, last: a segment is emitted when the next peak, or the end, closes it."""
 
@@ -99,7 +128,10 @@ def event_windows(df: DataFrame, at: str, value: str, watermark: str, width: str
 
 
 def merged(a: DataFrame, b: DataFrame, by: list[str], at: str, watermark: str) -> DataFrame:
-    """Two streams of equal rate side by side on (series, ix), their state bounded by equal event times."""
+    """Two streams of equal rate side by side on (series, ix), their state bounded by equal event times.
+
+    A watermark starts at 1970, so rows of that moment or before are late from the start and go.
+    """
     left = a.withWatermark(at, watermark).select(*by, "ix", F.col(at), F.col("coeffs").alias("__a"))
     right = b.withWatermark(at, watermark).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("ix").alias("__ix"), F.col(at).alias("__at"), F.col("coeffs").alias("__b"))
     on = (F.col("ix") == F.col("__ix")) & (F.col(at) == F.col("__at"))
