@@ -13,7 +13,9 @@ Equal fingerprints are collapsed before the search, so the thousands of exact
 copies of a page cost one entry.  A pair that meets under several keys is
 emitted once, for its first close segment only.  Groups are the connected
 components of the pairs, found by alternating large and small stars; each round
-is a table in the shared folder.  No step collects or broadcasts anything.
+is a table in the shared folder.  The search and the groups collect and broadcast
+nothing: every join there is told to merge, as Spark's own choice goes by a size
+estimate that counts neither the entries of a fingerprint nor what Parquet saves.
 
 Defined results: null and empty texts and texts without a word have no
 fingerprint, are never copies and all stay; rows repeated with the same id are
@@ -110,8 +112,8 @@ def pairs(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = codes.select("lo", "hi", part.alias("part"), entry)
     key = F.element_at("part", F.col("e.s") + 1).bitwiseXOR(F.col("e.m")).bitwiseOR(F.shiftleft(F.col("e.s").cast("long"), 32))
     rows = rows.select(key.alias("key"), "lo", "hi", F.col("e.m").alias("m"))
-    # the same columns on both sides, so that one exchange serves both
-    a, b = rows.alias("a"), rows.alias("b")
+    # the same columns on both sides, so that one exchange serves both; a broadcast would send all entries through the driver
+    a, b = rows.alias("a"), rows.alias("b").hint("merge")
     alo, ahi, blo, bhi = map(F.col, ("a.lo", "a.hi", "b.lo", "b.hi"))
     apart = [_near(_segment(alo, ahi, *x), _segment(blo, bhi, *x)) for x in SEGMENTS]
     first = F.lit(n)
@@ -135,9 +137,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(down.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         after = written(small.select(F.col("b").alias("a"), F.col("a").alias("b")), "edges")
         size = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         same = size(after) == size(now)
@@ -153,10 +155,10 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     all_prints = written(prints(same_columns(docs, "doc_id", "text")).withColumn("row", F.monotonically_increasing_id()), "prints")
     found = components(pairs(all_prints.select("lo", "hi").distinct(), radius))
     labels = found.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), F.col("label.hi").alias("lhi"), F.col("label.lo").alias("llo"))
-    rows = all_prints.join(labels, ["hi", "lo"], "left").withColumns({"lhi": F.coalesce("lhi", "hi"), "llo": F.coalesce("llo", "lo")})
+    rows = all_prints.join(labels.hint("merge"), ["hi", "lo"], "left").withColumns({"lhi": F.coalesce("lhi", "hi"), "llo": F.coalesce("llo", "lo")})
     rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k1", "k2", "row")
     heads = rows.groupBy("lhi", "llo").agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(heads, ["lhi", "llo"]).select("k1", "k2", "doc_id", F.col("head.doc_id").alias("g_id"), "n", (F.col("row") == F.col("head.row")).alias("keep"))
+    return rows.join(heads.hint("merge"), ["lhi", "llo"]).select("k1", "k2", "doc_id", F.col("head.doc_id").alias("g_id"), "n", (F.col("row") == F.col("head.row")).alias("keep"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -175,7 +177,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     judged = found.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.max("keep").alias("kept"), F.count(F.lit(1)).alias("rows"))
     gone = written(judged.where("NOT kept OR rows > 1"), "lost")
     lost, repeated = gone.select(k1, k2), gone.where("kept").select(k1, k2)
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df.hint("merge")
     keyed = docs.withColumns({k1: F.xxhash64(docs["doc_id"].cast("long"), docs["text"]), k2: F.hash(docs["text"], docs["doc_id"].cast("long"))})
     left = keyed.join(few(lost), [k1, k2], "left_anti")
     if not repeated.isEmpty():

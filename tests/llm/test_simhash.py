@@ -108,3 +108,29 @@ def test_one_of_repeated_rows_is_kept(spark, monkeypatch, limit):
     assert sorted(kept, key=str) == sorted([(None, None), (7, ""), (8, "%%%"), (9, None)] * 2 + [(6, "the ring is on the re"), (5, "another text with words")], key=str)
     found = near_duplicates(docs(spark, rows)).collect()
     assert [r.doc_id for r in found] == [6] * 4 and sum(r.keep for r in found) == 1
+
+
+def plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def recorded(monkeypatch):
+    """The plans of all tables that are written from now on."""
+    plans, plain = [], simhash.written
+
+    def written(df, name):
+        plans.append(plan(df))
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "written", written)
+    return plans
+
+
+def test_many_lost_keys_do_not_go_through_the_driver(spark, monkeypatch):
+    """Neither on the way to the lost keys nor with them, though these tables are small enough for Spark to broadcast them."""
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", 0)
+    plans = recorded(monkeypatch)
+    last = plan(drop_near_duplicates(docs(spark, [*copies(), (1, "one text"), (1, "one text")])))
+    assert "LeftAnti" in last and "LeftSemi" in last and len(plans) > 4
+    assert not any("Broadcast" in p for p in [*plans, last])
