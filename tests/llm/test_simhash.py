@@ -134,3 +134,11 @@ def test_many_lost_keys_do_not_go_through_the_driver(spark, monkeypatch):
     last = plan(drop_near_duplicates(docs(spark, [*copies(), (1, "one text"), (1, "one text")])))
     assert "LeftAnti" in last and "LeftSemi" in last and len(plans) > 4
     assert not any("Broadcast" in p for p in [*plans, last])
+
+
+def test_search_and_groups_do_not_go_through_the_driver(spark, monkeypatch):
+    """Spark would broadcast these tables: its estimate does not count the entries of each fingerprint."""
+    plans = recorded(monkeypatch)
+    plans.append(plan(near_duplicates(docs(spark, copies()))))
+    assert sum("SortMergeJoin" in p for p in plans) > 2
+    assert not any("Broadcast" in p for p in plans)
