@@ -58,8 +58,9 @@ def peaks(df: DataFrame, by: list[str], window: int = 11, before: int = 5, thres
     x = lambda k: F.element_at("__f", c + 1 + k)
     ordered = F.array_sort("__f")
     middle = F.element_at(ordered, window // 2 + 1) if window % 2 else (F.element_at(ordered, window // 2) + F.element_at(ordered, window // 2 + 1)) / 2
-    base = A.total(F.col("__f")) / window if how == "mean" else middle
-    found = (x(-1) - x(-2) > 0) & (x(0) - x(-1) < 0) & (x(0) > threshold * base)
+    # the threshold goes before the division: rows that equal it exactly are decided by the last bit
+    least = threshold * A.total(F.col("__f")) / window if how == "mean" else threshold * middle
+    found = (x(-1) - x(-2) > 0) & (x(0) - x(-1) < 0) & (x(0) > least)
     return made.withColumn("peak", found).drop("__f")
 
 
