@@ -15,3 +15,8 @@ def _rows(spark):
 def test_peak_at_the_threshold(spark):
     assert 1.25 * sum(TIE) / 11 < TIE[5] <= 1.25 * (sum(TIE) / 11)
     assert segment.peaks(_rows(spark), ["k"]).where("peak AND ix = 5").count() == 1
+
+
+def test_segment_begins_at_the_threshold(spark):
+    cuts = segment.segments(segment.peaks(_rows(spark), ["k"]), ["k"], 1000).orderBy("start_ps").collect()
+    assert 5000 in [r.start_ps for r in cuts] and sum(r.duration_ps for r in cuts) == 11000
