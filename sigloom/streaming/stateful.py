@@ -89,8 +89,9 @@ def peaks(df: DataFrame, by: list[str], window: int = 11, before: int = 5, thres
         n = max(0, len(held) - window + 1)
         if n:
             x = np.lib.stride_tricks.sliding_window_view(held, window)
-            base = x.mean(1) if how == "mean" else np.median(x, axis=1)
-            found = (x[:, c - 1] > x[:, c - 2]) & (x[:, c] < x[:, c - 1]) & (x[:, c] > threshold * base)
+            # summed in order and divided last, as in segment.peaks: a row at the threshold is decided by the last bit
+            least = threshold * sum(x.T) / window if how == "mean" else threshold * np.median(x, axis=1)
+            found = (x[:, c - 1] > x[:, c - 2]) & (x[:, c] < x[:, c - 1]) & (x[:, c] > least)
             yield pd.DataFrame({**{k: [v] * n for k, v in zip(by, key, strict=True)}, "ix": np.arange(at, at + n), "peak": found})
         if end:
             state.remove()
