@@ -7,7 +7,7 @@ arrays, ``re`` and ``im``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +56,15 @@ def by_matrix(a: Column, matrix: np.ndarray) -> Column:
     return frames_udf(lambda x: x @ matrix.T)(a)
 
 
-def frames_udf(f: Callable[[np.ndarray], np.ndarray]):
-    """An Arrow UDF from frames of one length (rows of a matrix) to frames; null frames stay null."""
+#: Numbers that a frames_udf with known sizes returns at once.
+AT_ONCE = 1 << 19
+
+
+def frames_udf(f: Callable[[np.ndarray], np.ndarray], made: Callable[[int], int] | None = None):
+    """An Arrow UDF from frames of one length (rows of a matrix) to frames; null frames stay null.
+
+    ``made``, the size of the frame that one of a size becomes, is for frames that grow: batches are then cut to about ``AT_ONCE`` numbers.
+    """
 
     def rows(a: pa.Array, n: int) -> pa.Array:
         if not n:
@@ -77,6 +84,21 @@ def frames_udf(f: Callable[[np.ndarray], np.ndarray]):
             out.append(rows(a.take(pa.array(at)), int(n)))
         return pa.concat_arrays(out).take(pa.array(where))
 
+    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            sizes = np.nan_to_num(pc.list_value_length(a).to_numpy(zero_copy_only=False))
+            ends = np.cumsum([max(1, int(n), made(int(n))) for n in sizes])
+            lo = 0
+            while lo < len(a):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+                yield run(a.slice(lo, hi - lo))
+                lo = hi
+            if not len(a):
+                yield run(a)
+
+    if made:
+        parts.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(parts, "array<double>")
     run.__annotations__ = {"a": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<double>")
 
@@ -258,6 +280,9 @@ def auto_correlogram(a: Column, bank: np.ndarray, width: int) -> Column:
     Filters are applied where they lie whole inside the frame, so a frame of n samples has
     n - taps - width + 2 windows; a shorter one has none.  A long series is framed first, in
     steps of k samples with windows of k + taps + width - 2.  Scaled by 1 / sqrt(2 width).
+
+    Rows are worked on and handed back some at a time, so memory does not follow the size of
+    Spark's batches.
     """
 
     def run(x: np.ndarray) -> np.ndarray:
@@ -269,7 +294,7 @@ def auto_correlogram(a: Column, bank: np.ndarray, width: int) -> Column:
         r = np.fft.ifft(np.abs(z) ** 2, norm="ortho").real
         return np.fft.fftshift(r, axes=-1).transpose(0, 1, 3, 2).reshape(len(x), -1)
 
-    return frames_udf(run)(a)
+    return frames_udf(run, lambda n: max(0, n - bank.shape[1] - width + 2) * 2 * width * len(bank))(a)
 
 
 def linear_bins(samples_per_second: int, n: int) -> LinearScale:
