@@ -48,6 +48,15 @@ def test_few_pairs_are_measured(metric, monkeypatch):
     assert got == _expected(metric, x, q, 5)
 
 
+def test_few_euclidean_pairs_are_measured_far_from_zero(monkeypatch):
+    x, q, measured, original = 100 + _vectors(6000, 64, 11), 100 + _vectors(100, 64, 12), [], knn._measured
+    monkeypatch.setattr(knn, "_measured", lambda m, a, b: measured.append(len(a)) or original(m, a, b))
+    got = _searched("euclidean", x, q, 5, 2000)
+    assert sum(measured) < 0.03 * len(x) * len(q)
+    monkeypatch.undo()
+    assert got == _expected("euclidean", x, q, 5)
+
+
 @pytest.mark.parametrize("metric", METRICS)
 def test_odd_numbers(metric):
     rng = np.random.default_rng(4)
