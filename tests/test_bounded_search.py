@@ -57,6 +57,16 @@ def test_few_euclidean_pairs_are_measured_far_from_zero(monkeypatch):
     assert got == _expected("euclidean", x, q, 5)
 
 
+def test_few_cosine_pairs_are_measured_whatever_the_lengths(monkeypatch):
+    lengths = 10.0 ** np.random.default_rng(13).uniform(-6, 6, (6000, 1))
+    x, q, measured, original = lengths * _vectors(6000, 64, 14), lengths[:100] * _vectors(100, 64, 15), [], knn._measured
+    monkeypatch.setattr(knn, "_measured", lambda m, a, b: measured.append(len(a)) or original(m, a, b))
+    got = _searched("cosine", x, q, 5, 2000)
+    assert sum(measured) < 0.03 * len(x) * len(q)
+    monkeypatch.undo()
+    assert got == _expected("cosine", x, q, 5)
+
+
 @pytest.mark.parametrize("metric", METRICS)
 def test_odd_numbers(metric):
     rng = np.random.default_rng(4)
